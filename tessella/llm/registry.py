@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .line_dedup import dedup_lines
+from .mixing import mix_counts
+from .secrets import digest, scan_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +34,20 @@ FROM l LEFT JOIN s ON l.k = s.k GROUP BY l.doc_id
 """
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_counts(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), count("entropy"), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_line_dedup": op4_line_dedup}
+    return {f.__name__: f for f in (op4_line_dedup, op6_source_mixing, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
