@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from ..session import table
 from .line_dedup import dedup_lines
 from .mixing import mix_counts
+from .quality import quality_rules
 from .secrets import digest, scan_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -47,7 +53,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_line_dedup, op6_source_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op6_source_mixing, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
