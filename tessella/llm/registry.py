@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .html_text import extract_main_text
 from .line_dedup import dedup_lines
 from .mixing import mix_counts
 from .quality import quality_rules
@@ -52,8 +53,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), count("entropy"), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op6_source_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op6_source_mixing, op9_secret_scan, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
