@@ -11,12 +11,27 @@ from ..session import table
 from .html_text import extract_main_text
 from .line_dedup import dedup_lines
 from .mixing import mix_counts
+from .pieces import decode, encode, load_model
 from .quality import quality_rules
 from .secrets import digest, scan_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str = "piece_bpe_32k.model") -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = load_model(model_path or vocabulary())
+    coded = decode(encode(docs, model, keep=("doc_id",)), model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -58,7 +73,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op6_source_mixing, op9_secret_scan, op10_html_text)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_line_dedup, op6_source_mixing, op9_secret_scan, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
