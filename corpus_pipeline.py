@@ -1,23 +1,63 @@
-"""Corpus preparation as stages: each takes (spark, docs, sf_dir) and returns the next one's documents."""
+"""Corpus preparation in stages: each takes (spark, docs, sf_dir) and returns the next one's documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessella.llm.common import staged
+from tessella.llm.jaccard import keep_one
 from tessella.llm.line_dedup import dedup_lines
+from tessella.llm.mixing import mix_documents
+from tessella.llm.pieces import encode, load_model
+from tessella.llm.quality import keep_good
+from tessella.llm.registry import vocabulary
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs).select(*docs.columns)
+    """Shared lines stay in one document; n_chars follows the text."""
+    cleaned = dedup_lines(docs)
+    return cleaned.select(*[F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    return keep_one(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mix_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_pieces, ids of every document that the mix has taken, once per copy."""
+    coded = encode(docs, load_model(vocabulary()), keep=("doc_id", "source"))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 
-STAGES = [("line_dedup", line_dedup)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", source_mixing),
+    ("SentencePiece encoding", encoding),
+]
 
+#: Robust estimates, components of links, hash thresholds and merges are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents; each one's result is written to the shared folder and read by the next."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = staged(docs, "pipeline")
     return docs

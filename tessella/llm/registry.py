@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .html_text import extract_main_text
+from .jaccard import jaccard_components
 from .line_dedup import dedup_lines
 from .mixing import mix_counts
 from .pieces import decode, encode, load_model
@@ -56,6 +57,10 @@ FROM l LEFT JOIN s ON l.k = s.k GROUP BY l.doc_id
 """
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_counts(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -73,7 +78,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_line_dedup, op6_source_mixing, op9_secret_scan, op10_html_text)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard, op6_source_mixing, op9_secret_scan, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
