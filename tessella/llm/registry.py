@@ -12,6 +12,8 @@ from .html_text import extract_main_text
 from .jaccard import jaccard_components
 from .line_dedup import dedup_lines
 from .mixing import mix_counts
+from .neighbours import nearest
+from .ordinal import fit, predict
 from .pieces import decode, encode, load_model
 from .quality import quality_rules
 from .secrets import digest, scan_secrets
@@ -66,6 +68,19 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0 to 2: one point for quality, one for text that isn't toxic; kept where the highest grade is likely."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratings = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+    model = fit(docs, ratings, levels=3)
+    return predict(docs, model).withColumn("kept", F.col("tail") >= 0.5)
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0)).withColumn("query_id", F.col("query_id").cast("long"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["rank"] < 3)
@@ -78,7 +93,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard, op6_source_mixing, op9_secret_scan, op10_html_text)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard, op6_source_mixing, op7_quality_classifier, op8_nearest_neighbours, op9_secret_scan, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
