@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 #: Features: hashed words and bins of how a text is written.
 BUCKETS = 1 << 20
 #: Labelled rows that a fit uses at most, taken by hash.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 30_000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 0.5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 SHAPES = (("symbols", r"[#*$%&|<>!]"), ("upper", r"\p{Lu}"), ("digits", r"[0-9]"))
 BINS = 8
 #: First letters of words that are features too: words of one stem share what is learnt.
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, ratings: DataFrame, levels: int, id_col: str = "doc_id"
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rated", "ascending"), ("grade", "ascending")])
-        lists = [np.asarray(x, dtype=np.int64) for x in table.column("x").to_numpy()]
+        lists = [np.asarray(x, dtype=np.int32) for x in table.column("x").to_numpy()]
         model = _fit(lists, table.column("grade").to_numpy(), levels, epochs)
         return pa.table({"at": [model.at], "weight": [model.weight], "thresholds": [model.thresholds]}, schema=pa.schema([("at", pa.list_(pa.int64())), ("weight", pa.list_(pa.float64())), ("thresholds", pa.list_(pa.float64()))]))
 

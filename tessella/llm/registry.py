@@ -73,7 +73,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ratings = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
     model = fit(docs, ratings, levels=3)
-    return predict(docs, model).withColumn("kept", F.col("tail") >= 0.5)
+    return predict(docs, model).withColumn("kept", F.col("tail") >= 0.7)
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
