@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .html_text import extract_main_text
 from .jaccard import jaccard_components
+from .language_model import score, train
 from .line_dedup import dedup_lines
 from .mixing import mix_counts
 from .neighbours import nearest
@@ -35,6 +36,15 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents whose crc32 leaves another remainder than 2."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    model = train(docs.where(~F.col("held_out")))
+    scored = score(docs, model, keep=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -93,7 +103,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard, op6_source_mixing, op7_quality_classifier, op8_nearest_neighbours, op9_secret_scan, op10_html_text)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_score, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard, op6_source_mixing, op7_quality_classifier, op8_nearest_neighbours, op9_secret_scan, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
