@@ -211,8 +211,20 @@ def build_dictionary(docs: DataFrame, model: Model, text_col: str = "text") -> S
     return shards
 
 
-def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row of `docs`: the columns of `keep`, ids array<int>.
+def _texts(ids: np.ndarray, ends: np.ndarray, model: Model, blob: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """The texts of consecutive lists of ids, without their leading spaces; bytes that form no character become U+FFFD."""
+    data = blob[ragged(starts[ids], sizes[ids])].tobytes()
+    cuts = np.r_[0, np.cumsum(sizes[ids])][ends]
+    return [data[a:b].decode(errors="replace").removeprefix(" ") for a, b in zip(cuts, cuts[1:])]
+
+
+def _spellings(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(t) for t in model.texts])
+    return np.frombuffer(b"".join(model.texts), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: str | None = None) -> DataFrame:
+    """Per row of `docs`: the columns of `keep`, ids array<int>, and if `decoded` names a column the text decoded from the ids again.
 
     Workers get each text as hashes of its segments, look up a batch's distinct ones in the memory-mapped dictionary, and lay out
     the ids; no text is shuffled.
@@ -222,9 +234,10 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
     """
     shards = build_dictionary(docs, model, text_col)
     kept = [docs.schema[c] for c in keep]
-    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spellings = _spellings(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -235,7 +248,9 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
                 sizes = np.diff(stops, prepend=0)
                 ids = values[ragged((stops - sizes)[back], sizes[back])]
                 offsets = np.r_[0, np.cumsum(sizes[back])][ends - ends[0]].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], names=[*keep, "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+                texts = [pa.array(_texts(ids, offsets, model, *spellings), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *texts], names=schema.names)
 
     hashed = docs.select(*keep, F.transform(segments(F.col(text_col), model), lambda w: F.xxhash64(w)).alias("__hashes"))
     return hashed.mapInArrow(look_up, schema)
@@ -243,18 +258,11 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
 
 def decode(coded: DataFrame, model: Model, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """Add the texts that the ids stand for, without the leading space; bytes that form no character become U+FFFD. Null ids give null."""
-    blob = np.frombuffer(b"".join(model.texts), np.uint8)
-    sizes = np.array([len(t) for t in model.texts])
-    starts = np.cumsum(sizes) - sizes
-
     @F.pandas_udf("string")
     def text_of(lists: pd.Series) -> pd.Series:
-        def one(ids):
-            if ids is None:
-                return None
-            ids = np.asarray(ids, dtype=np.int64)
-            return blob[ragged(starts[ids], sizes[ids])].tobytes().decode(errors="replace").removeprefix(" ")
-
-        return lists.map(one)
+        full = lists[lists.notna()]
+        ends = np.r_[0, np.cumsum([len(x) for x in full])].astype(np.int64)
+        ids = np.concatenate([*full, np.empty(0, np.int64)]).astype(np.int64)
+        return pd.Series(_texts(ids, ends, model, *_spellings(model)), index=full.index, dtype=object).reindex(lists.index)
 
     return coded.withColumn(name, text_of(ids_col))

@@ -15,7 +15,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_counts
 from .neighbours import nearest
 from .ordinal import fit, predict
-from .pieces import decode, encode, load_model
+from .pieces import encode, load_model
 from .quality import quality_rules
 from .secrets import digest, scan_secrets
 
@@ -32,7 +32,7 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = load_model(model_path or vocabulary())
-    coded = decode(encode(docs, model, keep=("doc_id",)), model)
+    coded = encode(docs, model, keep=("doc_id",), decoded="decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
