@@ -191,7 +191,7 @@ def build_dictionary(docs: DataFrame, model: Model, text_col: str = "text") -> S
 
     The lattice is made for distinct segments only: text that repeats is folded once, however large the corpus."""
     spark = docs.sparkSession
-    words = docs.select(F.explode(segments(F.col(text_col), model)).alias("word")).groupBy("word").agg(F.lit(1).alias("one")).select("word")
+    words = docs.select(F.explode(F.array_distinct(segments(F.col(text_col), model))).alias("word")).groupBy("word").agg(F.lit(1).alias("one")).select("word")
     coded = staged(encode_words(words, model).select(F.xxhash64("word").alias("key"), "ids"), "piece-words")
     bits = max(0, (max(coded.count(), 1) - 1) // SHARD_ROWS).bit_length()
     shards = SortedShards(scratch_path(spark, "piece-dictionary"), bits, ("ids", "ids_at"))
