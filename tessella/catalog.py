@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
+from .plans import graph, metrics, similarity, sources, text  # noqa: F401
+from .plans.base import ORACLES, QUERIES, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    """Modules by weighted score."""
+    return metrics.scores(spark, sf_dir, 90)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
