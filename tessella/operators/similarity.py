@@ -204,13 +204,18 @@ def project(rows: DataFrame, vector: str, basis: dict) -> DataFrame:
     return rows.withColumn("coords", F.array(*[dot(centred, F.array(*[F.lit(float(x)) for x in axis])) for axis in basis["axes"]]))
 
 
+def _times(factor: Column):
+    return lambda x: x * factor
+
+
 def deflate(rows: DataFrame, vector: str, basis: dict) -> DataFrame:
     """Add residual: the centred vectors without their parts on the axes; lengths aren't made equal again."""
     out = project(rows, vector, basis)
     mean = F.array(*[F.lit(float(x)) for x in basis["mean"]])
     residual = F.zip_with(F.col(vector), mean, lambda x, m: x - m)
     for i, axis in enumerate(basis["axes"]):
-        residual = F.zip_with(residual, F.array(*[F.lit(float(x)) for x in axis]), lambda x, a, i=i: x - a * F.get("coords", F.lit(i)))
+        along = F.get("coords", F.lit(i))
+        residual = F.zip_with(residual, F.transform(F.array(*[F.lit(float(x)) for x in axis]), _times(along)), lambda x, a: x - a)
     return out.withColumn("residual", residual)
 
 
