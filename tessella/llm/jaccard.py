@@ -212,13 +212,17 @@ def components(sets: DataFrame, postings: DataFrame, rounds: int = 2) -> DataFra
     current = postings.select("token", "cid", "n", "p", F.col("cid").alias("comp"))
     links, compared = None, None
     for k in range(rounds + 1):
-        lists = current.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("comp", "n", "p", "cid")).alias("pivot")).where("lo <> hi")
+        # A token comes early in a set that has few rarer ones: the most typical member of a group of near copies. The next round takes others.
+        central = F.min(F.struct("p", "cid", "n", "comp")) if k == 0 else F.max(F.struct("comp", "n", "p", "cid"))
+        lists = current.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("shortest"), central.alias("pivot")).where("lo <> hi")
         if k < rounds:
             pivot = lists.select("token", F.col("pivot.cid").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.p").alias("ap"), F.col("pivot.comp").alias("ac"))
             met = current.join(pivot, "token").where(F.col("comp") != F.col("ac"))
             met = met.where(_may_link(F.col("an"), F.col("ap"), F.col("n"), F.col("p"))).select("a", F.col("cid").alias("b"))
         else:
-            left = staged(current.join(lists.select("token"), "token", "left_semi"), "shingle-rest")
+            # Positions from which too little follows for even the list's smallest set are skipped.
+            reach = current.join(lists.select("token", "shortest"), "token").where((NUM + DEN) * (F.col("n") - F.col("p")) >= NUM * (F.col("n") + F.col("shortest")))
+            left = staged(reach, "shingle-rest")
             x = left.select("token", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "p", "comp")])
             y = left.select("token", *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "p", "comp")])
             met = x.join(y, "token").where("x_comp < y_comp").where(_may_link(F.col("x_n"), F.col("x_p"), F.col("y_n"), F.col("y_p")))
