@@ -81,7 +81,7 @@ class SortedShards:
         for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
             arrays = self.shard(int(of[lo]))
             if not arrays or not len(arrays["key"]):
-                yield arrays, lo, hi, np.full(hi - lo, -1)
+                yield {}, lo, hi, np.full(hi - lo, -1)
                 continue
             known = arrays["key"]
             at = np.minimum(np.searchsorted(known, keys[lo:hi]), len(known) - 1)
