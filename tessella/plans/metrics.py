@@ -176,7 +176,7 @@ def a23_commit_summary(spark, sf_dir):
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders),
 e AS (SELECT o_custkey, min(rn) AS first FROM o WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT o_orderkey, o_custkey, CAST(rn - first AS BIGINT) AS step, CASE WHEN rn < first THEN 'before' WHEN rn > first AND rn <= first + 2 THEN 'after' ELSE 'post' END AS phase
-FROM o JOIN e USING (o_custkey) WHERE rn >= at - 2""")
+FROM o JOIN e USING (o_custkey) WHERE rn >= first - 2""")
 def w06_adoption_window(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
     return M.around(orders, "o_custkey", ["o_orderdate", "o_orderkey"], F.col("o_orderstatus") == "F", 2, 2).select("o_orderkey", "o_custkey", "step", "phase")

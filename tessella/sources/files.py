@@ -61,19 +61,17 @@ def use_leaves(uses: DataFrame, max_depth: int = 12) -> DataFrame:
     """file, path, name, wildcard: the leaves of use trees (file, use), a level of braces at a time.
 
     `self` names its parent, `as` renames, `as _` brings no name, `*` is a wildcard."""
-    level = uses.select("file", F.regexp_replace(F.trim("use"), r"\s*(::|,|\{|\})\s*", "$1").alias("t"))
-    out = None
     # The innermost braces are opened first: each of their members takes their prefix and what follows.
     inner = r"^(.*?)\{([^{}]*)\}(.*)$"
-    for _ in range(max_depth):
-        flat = level.where(~F.col("t").contains("{"))
-        out = flat if out is None else out.unionByName(flat)
-        level = level.where(F.col("t").contains("{"))
-        head, body, tail = (F.regexp_extract("t", inner, i) for i in (1, 2, 3))
+
+    def opened(t, _):
+        head, body, tail = (F.regexp_extract(t, inner, i) for i in (1, 2, 3))
         cut = F.regexp_extract(head, r"([^{},]*)$", 1)
-        level = level.select("file", F.substring(head, F.lit(1), F.length(head) - F.length(cut)).alias("before"), cut.alias("cut"), F.filter(F.split(body, ","), lambda x: x != "").alias("members"), tail.alias("after"))
-        level = level.select("file", F.concat("before", F.array_join(F.transform("members", lambda m: F.concat("cut", m)), ","), "after").alias("t"))
-    leaves = out.unionByName(level.select("file", "t")).select("file", F.explode(F.split("t", ",")).alias("t")).where("t <> ''")
+        members = F.transform(F.filter(F.split(body, ","), lambda x: x != ""), lambda m: F.concat(cut, m))
+        return F.when(t.contains("{"), F.concat(F.substring(head, F.lit(1), F.length(head) - F.length(cut)), F.array_join(members, ","), tail)).otherwise(t)
+
+    flat = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.regexp_replace(F.trim("use"), r"\s*(::|,|\{|\})\s*", "$1"), opened)
+    leaves = uses.select("file", F.explode(F.split(flat, ",")).alias("t")).where("t <> ''")
     plain, alias = F.regexp_replace("t", r" as \w+$", ""), F.regexp_extract("t", r" as (\w+)$", 1)
     wildcard = plain.endswith("*")
     path = F.regexp_replace(plain, r"(::)?(self|\*)$", "")
