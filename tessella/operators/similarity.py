@@ -50,6 +50,17 @@ def candidate_pairs(anchors: DataFrame, key: str, minimum: int) -> DataFrame:
     return a.join(b, "anchor").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= minimum)
 
 
+def confirmed_pairs(pairs: DataFrame, docs: DataFrame, anchors: DataFrame, key: str, text: str, minimum: float) -> DataFrame:
+    """a, b, shared, similarity: candidate pairs whose shared anchors are at least `minimum` of the union of both sides' anchors, except
+    pairs of one text. Equal anchors over different texts (case, spaces, short lines, order) are kept."""
+    sizes = anchors.groupBy(key).agg(F.count("*").alias("n"))
+    facts = docs.select(key, content_hash(F.col(text)).alias("h")).join(sizes, key)
+    a, b = (facts.select(F.col(key).alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")) for x in "ab")
+    similarity = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+    joined = pairs.join(a, "a").join(b, "b").where("ha <> hb").select("a", "b", "shared", similarity.alias("similarity"))
+    return joined.where(F.col("similarity") >= minimum)
+
+
 def clusters(pairs: DataFrame, minimum_members: int, similarity: str | None = None) -> DataFrame:
     """component, members, and the smallest similarity of its pairs, for components of enough members."""
     found = staged(connected_components(pairs, "a", "b"), "clusters")

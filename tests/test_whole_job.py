@@ -33,3 +33,20 @@ def test_components_of_all_error_events(spark, tmp_path):
     want = _groups((a, b) for us in users.values() for a in us for b in us)
     assert len(want) == 7
     assert {r["node"]: r["component"] for r in catalog.queries()["g06_components"](spark, str(tmp_path)).collect()} == want
+
+
+def test_near_duplicates_are_confirmed(spark, tmp_path):
+    own = lambda i, n: [f"line {j} that only text {i} has" for j in range(n)]
+    common = [f"a licence line that many share, {i}" for i in range(20)]
+    texts = {i: "\n".join(common[:3] + own(i, 5)) for i in range(1, 6)}  # three shared lines, nothing more
+    texts |= {10: "\n".join(common), 11: "\n".join([*common, *own(11, 1)]), 12: "\n".join([*common, *own(12, 1)]), 13: "\n".join(own(13, 5))}
+    texts |= {20 + i: "\n".join(own(20, 6)) for i in range(3)}  # one text thrice
+    texts |= {30 + i: "\n".join([*own(30, 6), f"short {i}"]) for i in range(3)}  # equal anchors, different texts
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    anchors = {i: {x.strip().lower() for x in t.split("\n") if len(x.strip()) > 20} for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in texts if a < b and texts[a] != texts[b] and len(anchors[a] & anchors[b]) >= 3 and len(anchors[a] & anchors[b]) >= 0.9 * len(anchors[a] | anchors[b])]
+    groups = _groups(near)
+    sizes = {c: sum(x == c for x in groups.values()) for c in groups.values()}
+    want = {c: n for c, n in sizes.items() if n >= 3}
+    assert want == {10: 3, 30: 3}
+    assert {r["component"]: r["members"] for r in catalog.queries()["hl105_near_duplicates"](spark, str(tmp_path)).collect()} == want
