@@ -50,3 +50,11 @@ def test_near_duplicates_are_confirmed(spark, tmp_path):
     want = {c: n for c, n in sizes.items() if n >= 3}
     assert want == {10: 3, 30: 3}
     assert {r["component"]: r["members"] for r in catalog.queries()["hl105_near_duplicates"](spark, str(tmp_path)).collect()} == want
+
+
+def test_import_written_as_js(spark):
+    """A .js specifier that stands for a .tsx file is an edge, and bypasses a module without an entry point."""
+    rows = lambda name: {tuple(r) for r in catalog.queries()[name](spark, "").collect()}
+    edges = {("a/index.ts", "a", "b/index.ts", "b"), ("a/util.ts", "a", "b/deep/x.tsx", "b/deep"), ("b/index.ts", "b", "b/deep/x.tsx", "b/deep"), ("c/one.ts", "c", "a/util.ts", "a")}
+    assert rows("j01_import_edges") == edges
+    assert rows("hl108_bypassing_imports") == {("HL108", src, file, dst, target) for file, src, target, dst in edges if target != "b/index.ts"}
