@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, memory-mapped by workers."""
+"""Interpolated modified Kneser-Ney model of any order: counted in Spark, stored as sorted hash arrays, memory-mapped by workers."""
 
 from __future__ import annotations
 
@@ -11,22 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, remove, scratch_path, staged, words
+from .common import drop_staged, lower_ascii, remove, scratch_path, staged, words
 from .jaccard import _MUL, _mixed, _packed, _unpacked
 from .shared import SortedShards
 
-#: Tokens beside the words' hashes: what ends a text, and the context of its first word.
-END, START = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
+#: The token that ends a text, beside the words' hashes.
+END = np.uint64(0x5BD1E9955BD1E995)
+#: Numbers of tokens beside those of the vocabulary, which begin at 1: what stands before a text, and a token not met in training.
+START, UNKNOWN = np.uint64(0), np.uint64(1 << 63)
 BATCH_DOCS = 512
 CHUNK_TOKENS = 4_000_000
 
 
-def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return _mixed(v * _MUL + w)
+def _hash(grams: list[np.ndarray]) -> np.ndarray:
+    """One key per n-gram of ids, its tokens first to last."""
+    out = _mixed(grams[0] * _MUL)
+    for x in grams[1:]:
+        out = _mixed(out * _MUL + x)
+    return out
 
 
-def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of some texts: their tokens with ends, the token before each, and the end of each text in these arrays."""
+def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Of some texts: their tokens with ends, and the end of each text in these."""
     lists = part.column(part.schema.get_field_index("__hashes"))
     ends = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)[ends[0] : ends[-1]]
@@ -35,9 +41,17 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = np.ones(len(out), bool)
     word[stops - 1] = False
     out[word], out[~word] = flat, END
-    before = np.roll(out, 1)
-    before[np.r_[0, stops[:-1]]] = START
-    return out, before, stops
+    return out, stops
+
+
+def _grams(ids: np.ndarray, stops: np.ndarray, order: int) -> list[np.ndarray]:
+    """The `order` tokens that end at each token, first to last; before a text there is only START."""
+    begin = np.r_[0, stops[:-1]]
+    place = np.arange(len(ids)) - np.repeat(begin, stops - begin)
+    out = [ids]
+    for d in range(1, order):
+        out.insert(0, np.where(place >= d, np.roll(ids, d), START))
+    return out
 
 
 def _blobs(kind: int, keys: np.ndarray, bits: int, *values: np.ndarray) -> Iterator[tuple]:
@@ -49,6 +63,15 @@ def _blobs(kind: int, keys: np.ndarray, bits: int, *values: np.ndarray) -> Itera
             yield kind, int(of[a]), _packed(np.diff(keys[a:b], prepend=np.uint64(0))), [_packed(v[a:b]) for v in values]
 
 
+def _gram_blobs(grams: list[np.ndarray], n: np.ndarray, bits: int) -> list[tuple]:
+    """Distinct n-grams with their counts, dealt by the first bits of their keys, then in order: what repeats is side by side."""
+    of = (_hash(grams) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((*grams[::-1], of))
+    grams, n, of = [x[order] for x in grams], n[order], of[order]
+    cuts = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
+    return [(0, int(of[a]), _packed(np.diff(grams[0][a:b], prepend=np.uint64(0))), [*(_packed(x[a:b]) for x in grams[1:]), _packed(n[a:b])]) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
 _BLOBS = "kind int, shard int, keys binary, parts array<binary>"
 
 
@@ -70,10 +93,6 @@ def _gathered(rows: pa.Table) -> list[np.ndarray]:
     return [np.concatenate(keys), *(np.concatenate(p) for p in zip(*parts))]
 
 
-def _counts_of_counts(n: np.ndarray) -> list[int]:
-    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
-
-
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts for counts of one, two, and three or more; 0.5, 1, 1.5 where the counts of counts tell nothing."""
     if min(n1, n2, n3, n4) == 0:
@@ -85,146 +104,196 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
 
 @dataclass(frozen=True)
 class Model:
-    """counts: token -> times; pairs: pair -> times; contexts: token -> times as a context, and how many continuations it has once,
-    twice, more often; kinds: token -> distinct tokens before it. Then totals and discounts of both orders."""
+    """counts: token -> times, with each shard's first number in `offsets`; grams: per order, n-gram -> times in the highest order and after
+    START, else distinct tokens before it; contexts: per order from 2, context -> the sum of its n-grams' counts, and how many have one, two,
+    more. Then totals, and each order's discounts."""
 
+    order: int
     counts: SortedShards
-    pairs: SortedShards
-    contexts: SortedShards
-    kinds: SortedShards
+    offsets: np.ndarray
+    grams: dict[int, SortedShards]
+    contexts: dict[int, SortedShards]
     tokens: int
     vocabulary: int
     kinds_total: int
     kinds_of_kinds: tuple[int, int, int]
-    pair_discounts: tuple[float, float, float]
-    kind_discounts: tuple[float, float, float]
+    discounts: dict[int, tuple[float, float, float]]
+
+    @property
+    def pair_discounts(self) -> tuple[float, float, float]:
+        return self.discounts[2]
+
+    @property
+    def kind_discounts(self) -> tuple[float, float, float]:
+        return self.discounts[1]
+
+
+def _numbered(counts: SortedShards, offsets: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The numbers of sorted distinct tokens."""
+    out = np.full(len(tokens), UNKNOWN)
+    for arrays, lo, hi, at in counts.spans(tokens):
+        if arrays:
+            first = offsets[int(tokens[lo] >> np.uint64(64 - counts.bits))]
+            out[lo:hi] = np.where(at >= 0, (first + np.maximum(at, 0)).astype(np.uint64), UNKNOWN)
+    return out
 
 
 def _hashed(docs: DataFrame, text_col: str, *keep) -> DataFrame:
     return docs.select(*keep, F.transform(words(lower_ascii(F.col(text_col))), lambda w: F.xxhash64(w)).alias("__hashes"))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
+def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     """Count all texts of `docs`.
 
-    Tasks count tokens and pairs in chunks and hand on sorted, packed counts, dealt by the hash of the token or the pair, so a frequent
-    word or pair weighs no more than a rare one. From the pairs' sums follow, in one more such step, each context's and each token's
-    numbers of distinct neighbours. Only counts of counts and totals reach the driver."""
+    Tasks count tokens in chunks and hand on sorted, packed counts, dealt by the token's hash; its place in the sorted arrays is then
+    its number. In the same way they count n-grams of numbers, dealt by the whole n-gram, so a frequent word or n-gram weighs no more
+    than a rare one. From the sums of each order follow, in one more such step, the contexts' sums and the counts of the order below: the
+    distinct tokens before an n-gram, or its times where only START can stand before. Only counts of counts and totals reach the driver."""
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
     spark = docs.sparkSession
     bits = max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
-    root = scratch_path(spark, "bigram-model")
-    counts, pairs = SortedShards(f"{root}/counts", bits, ("n",)), SortedShards(f"{root}/pairs", bits, ("n",))
-    contexts, kinds = SortedShards(f"{root}/contexts", bits, ("n", "n1", "n2", "n3")), SortedShards(f"{root}/kinds", bits, ("n",))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            w, v = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            keys, n = np.unique(w, return_counts=True)
-            rows = list(_blobs(0, keys, bits, n))
-            _, first, n = np.unique(_pair(v, w), return_index=True, return_counts=True)
-            v, w = v[first], w[first]
-            # Dealt by the pair's first bits, then in order of the context: its differences are small.
-            of = _pair(v, w) >> np.uint64(64 - bits)
-            order = np.lexsort((v, of))
-            v, w, n, of = v[order], w[order], n[order], of[order].astype(np.int64)
-            cuts = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
-            rows += [(1, int(of[a]), _packed(np.diff(v[a:b], prepend=np.uint64(0))), [_packed(w[a:b]), _packed(n[a:b])]) for a, b in zip(cuts, cuts[1:])]
-            return _batch(rows)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_DOCS):
-                w, v, _ = _tokens(batch.slice(at, BATCH_DOCS))
-                held.append((w, v))
-                size += len(w)
-                if size >= CHUNK_TOKENS:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-
-    def add_up(key: tuple, rows: pa.Table) -> pa.Table:
-        kind, shard = key[0].as_py(), key[1].as_py()
-        if kind == 0:
-            keys, n = _summed(*_gathered(rows))
-            counts.save(shard, n=n.astype(np.uint64), key=keys)
-            return pa.Table.from_batches([_batch([(9, 0, b"", [_packed(np.array([int(n.sum()), len(n)]))])])])
-        v, w, n = _gathered(rows)
-        whole = _pair(v, w)
-        keys, first = np.unique(whole, return_index=True)
-        n = _summed(whole, n)[1]
-        pairs.save(shard, n=n.astype(np.uint32), key=keys)
-        v, w = v[first], w[first]
-        c, total, one, two, more = _summed(v, n, (n == 1).astype(np.uint64), (n == 2).astype(np.uint64), (n > 2).astype(np.uint64))
-        out = [*_blobs(2, c, bits, total, one, two, more), *_blobs(3, *_with_bits(_summed(w, np.ones(len(w), np.uint64)), bits))]
-        out.append((8, 0, b"", [_packed(np.array(_counts_of_counts(n)))]))
-        return pa.Table.from_batches([_batch(out)])
-
-    def add_up_more(key: tuple, rows: pa.Table) -> pa.Table:
-        kind, shard = key[0].as_py(), key[1].as_py()
-        if kind >= 8:
-            return pa.table({"kind": pa.array([kind], pa.int32()), "sums": pa.array([np.sum([_unpacked(x[0]) for x in rows.column("parts").to_pylist()], axis=0).astype(np.int64).tolist()], pa.list_(pa.int64()))})
-        keys, *values = _summed(*_gathered(rows))
-        if kind == 2:
-            contexts.save(shard, **dict(zip(("n", "n1", "n2", "n3"), values)), key=keys)
-            return pa.table({"kind": pa.array([2], pa.int32()), "sums": pa.array([[0]], pa.list_(pa.int64()))})
-        n = values[0]
-        kinds.save(shard, n=n, key=keys)
-        sums = [int(n.sum()), int((n == 1).sum()), int((n == 2).sum()), int((n > 2).sum()), *_counts_of_counts(n)]
-        return pa.table({"kind": pa.array([3], pa.int32()), "sums": pa.array([sums], pa.list_(pa.int64()))})
-
-    first = staged(_hashed(docs, text_col).mapInArrow(count, _BLOBS).groupBy("kind", "shard").applyInArrow(add_up, _BLOBS), "bigram-sums")
-    per_shard = first.groupBy("kind", "shard").applyInArrow(add_up_more, "kind int, sums array<long>")
-    totals = per_shard.where("kind <> 2").select("kind", F.posexplode("sums")).groupBy("kind", "pos").agg(F.sum("col").alias("n")).collect()
-    found = {(r["kind"], r["pos"]): r["n"] for r in totals}
-    get = lambda kind, k: found.get((kind, k), 0)
-    return Model(
-        counts, pairs, contexts, kinds, get(9, 0), get(9, 1), get(3, 0), (get(3, 1), get(3, 2), get(3, 3)),
-        _discounts(*(get(8, k) for k in range(4))), _discounts(*(get(3, k) for k in range(4, 8))),
-    )
+    root = scratch_path(spark, "ngram-model")
+    counts = SortedShards(f"{root}/counts", bits, ("n",))
+    grams = {k: SortedShards(f"{root}/grams-{k}", bits, ("n",)) for k in range(1, order + 1)}
+    contexts = {k: SortedShards(f"{root}/contexts-{k}", bits, ("n", "n1", "n2", "n3")) for k in range(2, order + 1)}
+
+    def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _chunks(batches, CHUNK_TOKENS):
+            keys, n = np.unique(np.concatenate([w for w, _ in held]), return_counts=True)
+            yield _batch(list(_blobs(0, keys, bits, n)))
+
+    def save_tokens(key: tuple, rows: pa.Table) -> pa.Table:
+        keys, n = _summed(*_gathered(rows))
+        counts.save(key[0].as_py(), n=n.astype(np.uint64), key=keys)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "kinds": pa.array([len(n)], pa.int64()), "times": pa.array([int(n.sum())], pa.int64())})
+
+    hashed = _hashed(docs, text_col)
+    sizes = np.zeros(1 << bits, np.int64)
+    tokens = 0
+    for r in hashed.mapInArrow(count_tokens, _BLOBS).groupBy("shard").applyInArrow(save_tokens, "shard int, kinds long, times long").collect():
+        sizes[r["shard"]] = r["kinds"]
+        tokens += r["times"]
+    offsets = 1 + np.cumsum(sizes) - sizes
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _chunks(batches, 2 * CHUNK_TOKENS // order):
+            token, back = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            stops = np.concatenate([s for _, s in _placed(held)])
+            found = _grams(_numbered(counts, offsets, token)[back], stops, order)
+            _, first, n = np.unique(_hash(found), return_index=True, return_counts=True)
+            yield _batch(_gram_blobs([x[first] for x in found], n, bits))
+
+    def add_up(k: int):
+        def run(key: tuple, rows: pa.Table) -> pa.Table:
+            kind, shard = key[0].as_py(), key[1].as_py()
+            if kind == 1:
+                keys, *values = _summed(*_gathered(rows))
+                contexts[k + 1].save(shard, **dict(zip(("n", "n1", "n2", "n3"), values)), key=keys)
+                return pa.Table.from_batches([_batch([])])
+            *tokens, n = _gathered(rows)
+            whole = _hash(tokens)
+            keys, first = np.unique(whole, return_index=True)
+            n = _summed(whole, n)[1]
+            tokens = [x[first] for x in tokens]
+            # What begins with two STARTs is the shorter n-gram, and counts only there.
+            real = np.ones(len(n), bool) if k == 1 else (tokens[0] != START) | (tokens[1] != START)
+            times = n[real]
+            grams[k].save(shard, n=times.astype(np.uint32), key=keys[real])
+            out = [(8, 0, b"", [_packed(np.array([int(times.sum()), *(int((times == x).sum()) for x in (1, 2, 3, 4)), int((times > 2).sum())]))])]
+            if k > 1:
+                if len(times):
+                    sums = _summed(_hash([x[real] for x in tokens[:-1]]), times, *(x.astype(np.uint64) for x in (times == 1, times == 2, times > 2)))
+                    out += _blobs(1, *_with_bits(sums, bits))
+                below, before = tokens[1:], np.where((tokens[1] == START), n, np.uint64(1))
+                whole = _hash(below)
+                _, first = np.unique(whole, return_index=True)
+                out += _gram_blobs([x[first] for x in below], _summed(whole, before)[1], bits)
+            return pa.Table.from_batches([_batch(out)])
+
+        return run
+
+    rows = hashed.mapInArrow(count_grams, _BLOBS)
+    found, held = {}, None
+    for k in range(order, 0, -1):
+        sums = staged(rows.groupBy("kind", "shard").applyInArrow(add_up(k), _BLOBS), "ngram-sums")
+        parts = [_unpacked(r["parts"][0]).astype(np.int64) for r in sums.where("kind = 8").select("parts").toLocalIterator()]
+        found[k] = [int(x) for x in np.sum(parts, axis=0)] if parts else [0] * 6
+        if held is not None:
+            drop_staged(held)
+        held, rows = sums, sums.where("kind < 8")
+    drop_staged(held)
+    total, n1, n2, _, _, more = found[1]
+    return Model(order, counts, offsets, grams, contexts, tokens, int(sizes.sum()), total, (n1, n2, more), {k: _discounts(*x[1:5]) for k, x in found.items()})
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """Tokens and ends of texts, in lists of about `most` tokens."""
+    held, size = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_DOCS):
+            held.append(_tokens(batch.slice(at, BATCH_DOCS)))
+            size += len(held[-1][0])
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _placed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same with the ends counted through the whole list."""
+    at = 0
+    for w, stops in held:
+        yield w, stops + at
+        at += len(w)
 
 
 def _with_bits(summed: tuple, bits: int) -> tuple:
     return summed[0], bits, *summed[1:]
 
 
+def _looked_up(shards: SortedShards, keys: np.ndarray, *names: str) -> list[np.ndarray]:
+    """The numbers beside keys in any order."""
+    known, back = np.unique(keys, return_inverse=True)
+    return [shards.numbers(known, name)[back] for name in names]
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row of `docs`: the columns of `keep`, n_tokens, n_known, base_score, score: log10 probabilities of the whole text and its end.
 
-    The pair's discounted share is mixed with the word's, which counts distinct contexts, and that with an even share of the vocabulary
-    and one unknown word. Workers map the arrays and look up a batch's distinct tokens and pairs in order.
+    Each order's discounted share is mixed with that of the order below, which counts distinct contexts, and the word's with an even share of
+    the vocabulary and one unknown word. Workers map the arrays and look up a batch's distinct tokens and n-grams in order.
 
     Cases: null and empty texts are their end alone; words and contexts not met in training fall back to the lower order; without
     training texts all words share evenly; repeated rows are scored alike; other columns are ignored.
     """
     names = ["n_tokens", "n_known", "base_score", "score"]
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, T.LongType()) for n in names[:2]], *[T.StructField(n, T.DoubleType()) for n in names[2:]]])
-    d2, d1 = np.array([0.0, *model.pair_discounts]), np.array([0.0, *model.kind_discounts])
+    cut = {k: np.array([0.0, *d]) for k, d in model.discounts.items()}
     even = 1.0 / (model.vocabulary + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_DOCS):
                 part = batch.slice(at, BATCH_DOCS)
-                w, v, stops = _tokens(part)
+                w, stops = _tokens(part)
                 token, back = np.unique(w, return_inverse=True)
                 n = model.counts.numbers(token, "n").astype(np.float64)
-                kind = model.kinds.numbers(token, "n").astype(np.int64)
+                base = np.log10((n + 1) / (model.tokens + model.vocabulary + 1))
+                ids = _numbered(model.counts, model.offsets, token)[back]
                 if model.kinds_total:
                     left = sum(d * k for d, k in zip(model.kind_discounts, model.kinds_of_kinds)) / model.kinds_total
-                    low = np.maximum(kind - d1[np.minimum(kind, 3)], 0) / model.kinds_total + left * even
+                    kind = _looked_up(model.grams[1], _hash([ids]), "n")[0].astype(np.int64)
+                    p = np.maximum(kind - cut[1][np.minimum(kind, 3)], 0) / model.kinds_total + left * even
                 else:
-                    low = np.full(len(token), even)
-                base = np.log10((n + 1) / (model.tokens + model.vocabulary + 1))
-                context, of = np.unique(v, return_inverse=True)
-                total, n1, n2, n3 = (model.contexts.numbers(context, x).astype(np.float64) for x in ("n", "n1", "n2", "n3"))
-                mass = np.where(total > 0, (d2[1] * n1 + d2[2] * n2 + d2[3] * n3) / np.maximum(total, 1), 1.0)
-                pair, which = np.unique(_pair(v, w), return_inverse=True)
-                c = model.pairs.numbers(pair, "n").astype(np.int64)[which]
-                p = np.maximum(c - d2[np.minimum(c, 3)], 0) / np.maximum(total, 1)[of] + mass[of] * low[back]
+                    p = np.full(len(w), even)
+                for k in range(2, model.order + 1):
+                    gram = _grams(ids, stops, k)
+                    total, n1, n2, n3 = (x.astype(np.float64) for x in _looked_up(model.contexts[k], _hash(gram[:-1]), "n", "n1", "n2", "n3"))
+                    mass = np.where(total > 0, (cut[k][1] * n1 + cut[k][2] * n2 + cut[k][3] * n3) / np.maximum(total, 1), 1.0)
+                    c = _looked_up(model.grams[k], _hash(gram), "n")[0].astype(np.int64)
+                    p = np.maximum(c - cut[k][np.minimum(c, 3)], 0) / np.maximum(total, 1) + mass * p
                 begin = np.r_[0, stops[:-1]]
                 sums = [np.add.reduceat(x, begin) for x in ((n > 0).astype(np.int64)[back], base[back], np.log10(p))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(stops - begin), *(pa.array(x) for x in sums)], names=[*keep, *names])

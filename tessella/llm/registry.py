@@ -37,12 +37,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns from the documents whose crc32 leaves another remainder than 2."""
+    """Trigrams, learnt from the documents whose crc32 leaves another remainder than 2."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
-    model = train(docs.where(~F.col("held_out")))
+    model = train(docs.where(~F.col("held_out")), order=3)
     scored = score(docs, model, keep=("doc_id", "held_out"))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
