@@ -43,25 +43,52 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+#: In a text node's marks, an article or main element without a label; labelled elements are marked by numbers from 0.
+_INNER = -1
 _PUNCT = re.compile(r"[.,;:!?…。，！？；：]")
 
 
-def _labelled(rest: str) -> bool:
-    for m in _NAMED.finditer(rest):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
-            parts = re.split(r"[-_]+", name)
-            if parts[0] not in _NEGATED and not LABELS.isdisjoint(parts):
-                return True
-    return False
+def _told(rest: str) -> tuple[bool, bool]:
+    """Whether a tag's attributes hide its element, and whether its class, id or role has a label's name."""
+    hidden = labelled = False
+    for m in _ATTRIBUTE.finditer(rest):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id", "role"):
+            for name in value.lower().split():
+                parts = re.split(r"[-_]+", name)
+                labelled |= parts[0] not in _NEGATED and not LABELS.isdisjoint(parts)
+        else:
+            hidden |= key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and bool(_UNSEEN.search(value))
+    return hidden, labelled
+
+
+def _unlabelled(found: list[tuple[int, str, str, tuple[int, ...]]]) -> list[tuple[int, str, str]]:
+    """The nodes outside labelled elements, where a label counts for nothing on an element that holds most of the text of article and
+    main elements, or most of the page's text unless article and main elements outside labels hold over a fifth as much."""
+    held: dict[int, int] = {}
+    inner: dict[int, int] = {}
+    page = framed = outside = 0
+    for _, _, text, marks in found:
+        n = len(text.strip())
+        page += n
+        framed += n * (_INNER in marks)
+        outside += n * (_INNER in marks and max(marks) < 0)
+        for k, mark in enumerate(marks):
+            if mark != _INNER:
+                held[mark] = held.get(mark, 0) + n
+                inner[mark] = inner.get(mark, 0) + n * (_INNER in marks[k:])
+    dropped = {e for e in held if 2 * inner[e] <= framed}
+    dropped -= {e for e in dropped if 2 * held[e] > page and 5 * outside <= held[e]}
+    return [(block, path, text) for block, path, text, marks in found if dropped.isdisjoint(marks)]
 
 
 def text_nodes(page: str, by_label: bool = True) -> list[tuple[int, str, str]]:
     """(block, tag path, text) of the nodes that can be main text, in page order; character references are still in the text."""
-    out: list[tuple[int, str, str]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, left out
-    block = 0
+    out: list[tuple[int, str, str, tuple[int, ...]]] = []
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = [("", "", False, ())]  # tag, path, left out, marks
+    block = labels = 0
 
     def close(tags: set[str], barrier: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -74,7 +101,7 @@ def text_nodes(page: str, by_label: bool = True) -> list[tuple[int, str, str]]:
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
             if not stack[-1][2]:
-                out.append((block, stack[-1][1], text))
+                out.append((block, stack[-1][1], text, stack[-1][3]))
             continue
         tag = m["tag"] or m["tag2"]
         if tag is None:
@@ -83,7 +110,7 @@ def text_nodes(page: str, by_label: bool = True) -> list[tuple[int, str, str]]:
         if tag in BLOCKS:
             block += 1
         elif tag == "br" and not stack[-1][2]:
-            out.append((block, stack[-1][1], " "))
+            out.append((block, stack[-1][1], " ", stack[-1][3]))
         if m["end"] or m["end2"]:
             close({tag}, set())
             continue
@@ -93,9 +120,15 @@ def text_nodes(page: str, by_label: bool = True) -> list[tuple[int, str, str]]:
             close(*_ENDS[tag])
         if tag in VOID:
             continue
-        without = stack[-1][2] or tag in LEFT_OUT or tag not in _FRAME and bool(rest) and (bool(_HIDDEN.search(rest)) or by_label and _labelled(rest))
-        stack.append((tag, f"{stack[-1][1]}/{tag}", without))
-    return out
+        hidden, labelled = _told(rest) if rest else (False, False)
+        marks = stack[-1][3]
+        if labelled and tag not in _FRAME:
+            marks += (labels,)
+            labels += 1
+        elif tag in ("article", "main") and not labelled:
+            marks += (_INNER,)
+        stack.append((tag, f"{stack[-1][1]}/{tag}", stack[-1][2] or tag in LEFT_OUT or hidden and tag not in _FRAME, marks))
+    return _unlabelled(out) if by_label else [x[:3] for x in out]
 
 
 def path_scores(page: np.ndarray, path: np.ndarray, length: np.ndarray, punct: np.ndarray) -> np.ndarray:
