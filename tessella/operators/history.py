@@ -2,41 +2,55 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import staged
+
+#: Commits in a block of the join of files with the commits that they live through.
+BLOCK = 32
+
 
 def observations(commits: DataFrame, changes: DataFrame, files: DataFrame, maximum_files: int, key: str = "repo") -> DataFrame:
     """repo, seq, file, edited: for each eligible commit the tracked files that exist before it is undone, and whether it edits them.
 
     commits(repo, seq), seq 0 the newest; changes(repo, seq, path, previous_path, kind, content_changed); files(repo, path). The walk goes
     from new to old: an addition ends a file's identity, a rename moves it to its earlier path; commits with more than `maximum_files`
-    changes move identities but aren't observations, nor are those without an edit of a tracked file. One history is one
-    ordered fold, so histories are what runs in parallel."""
-    marks = commits.select(key, "seq", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("previous_path"), F.lit("").alias("kind"), F.lit(False).alias("content_changed"))
-    starts = files.select(key, F.lit(-1).alias("seq"), "path", F.lit(None).cast("string").alias("previous_path"), F.lit("").alias("kind"), F.lit(False).alias("content_changed"))
-    rows = marks.unionByName(changes.select(key, "seq", "path", "previous_path", "kind", "content_changed")).unionByName(starts)
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        at = {p: p for p in group.loc[group["seq"] == -1, "path"]}
-        out = []
-        for seq, part in group[group["seq"] >= 0].sort_values("seq", kind="stable").groupby("seq"):
-            part = part[part["path"].notna()]
-            edited = {at[p] for p, k, c in zip(part["path"], part["kind"], part["content_changed"]) if c and k != "D" and p in at}
-            if len(part) <= maximum_files and edited:
-                out += [(group[key].iloc[0], int(seq), f, f in edited) for f in sorted(at.values())]
-            moved = {}
-            for p, old, kind in zip(part["path"], part["previous_path"], part["kind"]):
-                if p in at and kind == "A":
-                    del at[p]
-                elif p in at and kind == "R":
-                    moved[old] = at.pop(p)
-            at |= moved
-        return pd.DataFrame(out, columns=[key, "seq", "file", "edited"])
-
-    kind = commits.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(walk, f"{key} {kind}, seq int, file string, edited boolean")
+    changes move identities but aren't observations, nor are those without an edit of a tracked file; so commits without changes play no part.
+
+    A path's stay under one name ends at its next addition or rename. Rounds of written joins follow the renames, first to find which names
+    are reached, then to hand on identities; there are as many as the longest chain of renames, and no history is gathered in a task."""
+    real = changes.where("path is not null").select(F.col(key).alias("repo"), F.col("seq").cast("int").alias("seq"), "path", "previous_path", "kind", "content_changed")
+    ends = real.where("kind in ('A', 'R')").groupBy("repo", "path", "seq").agg(F.min(F.struct("kind", "previous_path")).alias("how"))
+    first = files.where("path is not null").select(F.col(key).alias("repo"), "path", F.lit(0).alias("start")).distinct()
+    entered = real.where("kind = 'R' and previous_path is not null").select("repo", F.col("previous_path").alias("path"), (F.col("seq") + 1).alias("start")).distinct()
+    starts = first.unionByName(entered)
+    until = starts.join(ends, ["repo", "path"]).where("seq >= start").groupBy("repo", "path", "start").agg(F.min(F.struct("seq", "how")).alias("e"))
+    following = F.when(F.col("e.how.kind") == "R", F.col("e.how.previous_path")).alias("following")
+    stays = staged(starts.join(until, ["repo", "path", "start"], "left").select("repo", "path", "start", F.col("e.seq").alias("end"), following), "stays")
+    onward = lambda df: df.where("following is not null").select("repo", F.col("following").alias("path"), (F.col("end") + 1).alias("start"), F.col("path").alias("source"), F.col("start").alias("since"))
+
+    at = ["repo", "path", "start"]
+    frontier = reached = staged(first.join(stays, at), "reached")
+    while not (new := staged(onward(frontier).select(*at).distinct().join(stays, at).join(reached.select(*at), at, "left_anti"), "reached")).isEmpty():
+        frontier, reached = new, reached.unionByName(new)
+    # Who moves to a name takes it over from whoever had it.
+    taken = F.lead("start").over(Window.partitionBy("repo", "path").orderBy("start")) - 1
+    kept = staged(reached.withColumn("last", F.least("end", taken)), "kept")
+    links = staged(onward(kept.where("last = end")).groupBy(*at).agg(F.max(F.struct("source", "since")).alias("s")).select(*at, "s.source", "s.since"), "links")
+    frontier = named = staged(first.withColumn("file", F.col("path")), "named")
+    while not (new := staged(links.join(frontier.select("repo", F.col("path").alias("source"), F.col("start").alias("since"), "file"), ["repo", "source", "since"]).select(*at, "file"), "named")).isEmpty():
+        frontier, named = new, named.unionByName(new)
+
+    newest = real.groupBy("repo").agg(F.max("seq").alias("oldest"))
+    spans = staged(named.join(kept, at).join(newest, "repo").select("repo", "path", "file", "start", F.coalesce("last", "oldest").alias("last")).where("start <= last"), "spans")
+    edits = real.where("content_changed and kind <> 'D'").select("repo", "seq", "path").join(spans, ["repo", "path"]).where("seq between start and last").select("repo", "seq", "file").distinct()
+    edits = staged(edits, "edits")
+    eligible = real.groupBy("repo", "seq").count().where(F.col("count") <= maximum_files).join(edits, ["repo", "seq"], "left_semi").select("repo", "seq", F.floor(F.col("seq") / BLOCK).alias("block"))
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    alive = spans.withColumn("block", F.explode(F.sequence(block("start"), block("last")))).join(eligible, ["repo", "block"]).where("seq between start and last")
+    marked = alive.select("repo", "seq", "file").join(edits.withColumn("edited", F.lit(True)), ["repo", "seq", "file"], "left")
+    return marked.select(F.col("repo").alias(key), "seq", "file", F.coalesce("edited", F.lit(False)).alias("edited"))
 
 
 def co_change(alive: DataFrame, modules: DataFrame, key: str = "repo") -> DataFrame:
