@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import drop_staged, remove, scratch_path, staged  # noqa: F401
+from ..scratch import drop_staged, remove, scratch_path, staged, without_old_shuffles  # noqa: F401
 
 #: White space of the word rule: x20 and x09 to x0D.
 WHITE = " \t\n\x0b\f\r"

@@ -82,7 +82,7 @@ def test_language_model(docs, empty):
     rows = language_model.score(docs, model).collect()
     counts = Counter(t for i, text, *_ in ROWS if i not in held for t in [*words(lower(text)), None])
     total, kinds = sum(counts.values()), len(counts)
-    assert (model.tokens, model.vocabulary) == (total, kinds)
+    assert (model.tokens, model.vocabulary.kinds) == (total, kinds)
     texts = {i: text for i, text, *_ in ROWS}
     for r in rows:
         tokens = [*words(lower(texts[r["doc_id"]])), None]
@@ -96,9 +96,9 @@ def test_language_model(docs, empty):
 def test_scores_and_sums(spark):
     """Scores equal those of plain counting, and after any context the chances of all words, the end and one unknown word add up to one."""
     texts = ["a b a c", "b a a b c d", "d", "a b", "c c c a b e"]
-    model = language_model.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    model = language_model.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=2)
     pairs = Counter(p for t in texts for p in zip(["<s>", *t.split()], [*t.split(), "</s>"]))
-    d2, d1 = (0, *model.pair_discounts), (0, *model.kind_discounts)
+    d2, d1 = (0, *model.discounts[2]), (0, *model.discounts[1])
     kinds = Counter(w for _, w in pairs)
     spare = sum(d1[min(k, 3)] for k in kinds.values()) / len(pairs)
 
