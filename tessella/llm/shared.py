@@ -104,7 +104,7 @@ class Shards:
 class SortedShards(Shards):
     """Sorted 64-bit keys, dealt to 2**bits files by their first bits, with values beside them.
 
-    A value column is either one number per key, or a ragged list: `<name>` with `<name>_at`, the end of each list."""
+    A value column is either one number per key, or a ragged list: `<name>` with `begin` and `<name>_at`, the begin and end of each list."""
 
     def __init__(self, uri: str, bits: int, names: tuple[str, ...]):
         super().__init__(uri)
@@ -143,11 +143,9 @@ class SortedShards(Shards):
         for arrays, _, _, at in self.spans(keys):
             if not arrays or (at < 0).any():
                 raise KeyError(f"{self.uri}: a key is missing")
-            ends = arrays[f"{name}_at"]
-            stop = ends[at]
-            start = np.where(at > 0, ends[np.maximum(at - 1, 0)], 0)
-            sizes.append(stop - start)
-            values.append(arrays[name][ragged(start, stop - start)])
+            start = arrays["begin"][at]
+            sizes.append(arrays[f"{name}_at"][at] - start)
+            values.append(arrays[name][ragged(start, sizes[-1])])
         return np.cumsum(np.concatenate(sizes)) if sizes else np.empty(0, np.int64), np.concatenate(values)
 
 

@@ -30,7 +30,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     """The first powers of the base and of its inverse, modulo 2**64."""
     if len(_POWERS[0]) < n:
         for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
@@ -49,22 +49,36 @@ def _hash_words(data: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.nda
     begins[1:] &= ~word[:-1] | edge[1:-1]
     ends[:-1] &= ~word[1:] | edge[1:-1]
     begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    powers, inverses = _powers(len(data) + 1)
+    power, inverse = powers(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTES[data] * powers[: len(data)], out=sums[1:])
-    hashes = mixed(((sums[end] - sums[begin]) * inverses[begin]) ^ (end - begin).astype(np.uint64) * MUL)
+    np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
+    hashes = mixed(((sums[end] - sums[begin]) * inverse[begin]) ^ (end - begin).astype(np.uint64) * MUL)
     return hashes, np.diff(np.searchsorted(begin, stops), prepend=0)
 
 
-def hashed_texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of a string column, in parts: (texts in the part, hashes of their words, number of words of each). A-Z count as a-z; nulls have no words."""
+def parts(column: pa.Array, valid: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A string column in parts of texts: their bytes one after the other, and the end of each text; nulls are empty texts. If asked for,
+    bytes that form no character are replaced by U+FFFD."""
     column = pc.fill_null(column, "").cast(pa.large_string()) if len(column) else column
     at = 0
     while at < len(column):
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         upto = min(len(column), at + BATCH_DOCS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_BYTES, "right")) - 1))
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[at] : offsets[upto]]
-        hashes, sizes = _hash_words(data, offsets[at + 1 : upto + 1] - offsets[at]) if len(data) else (np.empty(0, np.uint64), np.zeros(upto - at, np.int64))
-        yield upto - at, hashes, sizes
+        stops = offsets[at + 1 : upto + 1] - offsets[at]
+        if valid:
+            try:
+                data.tobytes().decode()
+            except UnicodeDecodeError:
+                texts = [data[a:b].tobytes().decode(errors="replace").encode() for a, b in zip(np.r_[0, stops], stops)]
+                data, stops = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(x) for x in texts])
+        yield data, stops
         at = upto
+
+
+def hashed_texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of a string column, in parts: (texts in the part, hashes of their words, number of words of each). A-Z count as a-z; nulls have no words."""
+    for data, stops in parts(column):
+        hashes, sizes = _hash_words(data, stops) if len(data) else (np.empty(0, np.uint64), np.zeros(len(stops), np.int64))
+        yield len(stops), hashes, sizes

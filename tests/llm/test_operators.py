@@ -168,14 +168,16 @@ def test_nearest(spark):
     assert len(got) == 12
 
 
-def test_encoding_matches_the_tokenizer(docs, empty):
+@pytest.mark.parametrize("hash_bits", [64, 5], ids=["", "hashes that meet"])
+def test_encoding_matches_the_tokenizer(docs, empty, hash_bits):
     import sentencepiece
 
     path = registry.vocabulary()
     tokenizer, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load_model(path)
-    plain = docs.where("doc_id is not null and doc_id not in (12, 13, 6)")
-    rows = pieces.encode(plain, model, decoded="decoded").collect()
-    texts = {i: text for i, text, *_ in ROWS}
+    texts = {i: text for i, text, *_ in ROWS} | {20: "  two  spaces\n\n" + " " * 90 + "end   ", 21: "-" * 70 + "=" * 40 + "abc" * 40, 23: "\n".join(" " * k + "x" for k in range(70)), 22: "\u2581literal \ud55c\uad6d\uc5b4 \U0001f600\u0301 caf\u00e9"}
+    more = docs.sparkSession.createDataFrame([(i, texts[i]) for i in (20, 21, 22, 23)], "doc_id long, text string")
+    rows = pieces.encode(docs.select("doc_id", "text").unionByName(more), model, decoded="decoded", hash_bits=hash_bits).collect()
+    assert len(rows) == len(ROWS) + 4
     for r in rows:
         want = tokenizer.encode(texts[r["doc_id"]] or "")
         assert r["ids"] == want, r["doc_id"]
