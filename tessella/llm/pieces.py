@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ SPACE = "▁"
 #: Symbols of a word whose boundaries are bits of one long; longer words have an array of such.
 BIT_WORD = 60
 #: Segments that a task makes distinct at once.
-CHUNK_SEGMENTS = 2_000_000
+CHUNK_SEGMENTS = 500_000
 #: Rows of the piece table up to which it is broadcast; a vocabulary doesn't grow with the corpus.
 MAX_PIECES = 1_000_000
 _UNKNOWN = (1 << 20) - 1
@@ -136,13 +135,11 @@ class Segments:
         return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(codes.tobytes().decode("utf-32-le").encode()))
 
 
-def segments(column: pa.Array, model: Model) -> Iterator[Segments]:
+def segments(column: pa.Array, letters_apart: bool) -> Iterator[Segments]:
     """Parts of texts that no piece crosses: a run of letters or of other characters with the spaces before it, a line break, spaces at the end.
 
     Null and empty texts have none."""
-    if not model.spaces_lead:
-        raise ValueError("pieces with inner spaces need another segmentation")
-    classes = _character_classes(model.letters_apart)
+    classes = _character_classes(letters_apart)
     for data, stops in parts(column, valid=True):
         codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         # Ends of texts in code points: bytes that don't go on with a character.
@@ -168,6 +165,9 @@ def segments(column: pa.Array, model: Model) -> Iterator[Segments]:
 
 def distinct_segments(docs: DataFrame, model: Model, text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """key (hash), word of every distinct segment. Tasks make them distinct in chunks before the shuffle."""
+    if not model.spaces_lead:
+        raise ValueError("pieces with inner spaces need another segmentation")
+    letters_apart = model.letters_apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, words, size = [], [], 0
@@ -177,7 +177,7 @@ def distinct_segments(docs: DataFrame, model: Model, text_col: str = "text", has
             return pa.RecordBatch.from_arrays([every["key"].combine_chunks(), every["word"].combine_chunks().cast(pa.string())], names=["key", "word"])
 
         for batch in batches:
-            for part in segments(batch.column(0), model):
+            for part in segments(batch.column(0), letters_apart):
                 hashes = _kept_bits(part.hashes, hash_bits)
                 # Equal hashes may be of different words only if they are of few bits or their number is vast: then all of them go on.
                 _, first = np.unique(part.hashes, return_index=True)
@@ -382,7 +382,7 @@ def build_dictionary(docs: DataFrame, model: Model, text_col: str = "text", hash
     return Dictionary(shards, hash_bits, twins)
 
 
-def _texts(ids: np.ndarray, ends: np.ndarray, model: Model, blob: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[str]:
+def _texts(ids: np.ndarray, ends: np.ndarray, blob: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[str]:
     """The texts of consecutive lists of ids, without their leading spaces; bytes that form no character become U+FFFD."""
     data = blob[ragged(starts[ids], sizes[ids])].tobytes()
     cuts = np.r_[0, np.cumsum(sizes[ids])][ends]
@@ -409,16 +409,17 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
     words = build_dictionary(docs, model, text_col, hash_bits)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
 
+    letters_apart, spellings = model.letters_apart, _spellings(model) if decoded else None
+
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spellings = _spellings(model)
         for batch in batches:
             at = 0
-            for part in segments(batch.column(batch.num_columns - 1), model):
+            for part in segments(batch.column(batch.num_columns - 1), letters_apart):
                 rows = batch.slice(at, len(part.sizes))
                 at += len(part.sizes)
                 ids, ends = words.ids(part)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                texts = [pa.array(_texts(ids, ends, model, *spellings), pa.string())] if decoded else []
+                texts = [pa.array(_texts(ids, ends, *spellings), pa.string())] if spellings else []
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists, *texts], names=names)
 
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(look_up, schema)
@@ -426,11 +427,15 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
 
 def decode(coded: DataFrame, model: Model, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """Add the texts that the ids stand for, without the leading space; bytes that form no character become U+FFFD. Null ids give null."""
+    import pandas as pd
+
+    spellings = _spellings(model)
+
     @F.pandas_udf("string")
     def text_of(lists: pd.Series) -> pd.Series:
         full = lists[lists.notna()]
         ends = np.r_[0, np.cumsum([len(x) for x in full])].astype(np.int64)
         ids = np.concatenate([*full, np.empty(0, np.int64)]).astype(np.int64)
-        return pd.Series(_texts(ids, ends, model, *_spellings(model)), index=full.index, dtype=object).reindex(lists.index)
+        return pd.Series(_texts(ids, ends, *spellings), index=full.index, dtype=object).reindex(lists.index)
 
     return coded.withColumn(name, text_of(ids_col))

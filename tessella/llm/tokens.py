@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are turned into arrays at once; a longer text is one such part by itself.
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 20
 #: Rows of a batch that are looked at together.
 BATCH_DOCS = 1024
 
@@ -60,7 +60,7 @@ def _hash_words(data: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.nda
 def parts(column: pa.Array, valid: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A string column in parts of texts: their bytes one after the other, and the end of each text; nulls are empty texts. If asked for,
     bytes that form no character are replaced by U+FFFD."""
-    column = pc.fill_null(column, "").cast(pa.large_string()) if len(column) else column
+    column = (pc.fill_null(column, "") if column.null_count else column).cast(pa.large_string())
     at = 0
     while at < len(column):
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
