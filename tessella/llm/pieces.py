@@ -427,15 +427,12 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
 
 def decode(coded: DataFrame, model: Model, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """Add the texts that the ids stand for, without the leading space; bytes that form no character become U+FFFD. Null ids give null."""
-    import pandas as pd
-
     spellings = _spellings(model)
 
-    @F.pandas_udf("string")
-    def text_of(lists: pd.Series) -> pd.Series:
-        full = lists[lists.notna()]
-        ends = np.r_[0, np.cumsum([len(x) for x in full])].astype(np.int64)
-        ids = np.concatenate([*full, np.empty(0, np.int64)]).astype(np.int64)
-        return pd.Series(_texts(ids, ends, *spellings), index=full.index, dtype=object).reindex(lists.index)
+    @F.arrow_udf("string")
+    def text_of(lists: pa.Array) -> pa.Array:
+        ends = np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+        texts = _texts(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends, *spellings)
+        return pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
 
     return coded.withColumn(name, text_of(ids_col))

@@ -157,15 +157,38 @@ def test_secret_scan(spark, docs, empty):
 
 def test_nearest(spark):
     rows = [(i, [math.sin(i * k + k) for k in range(1, 9)]) for i in range(40)]
-    rows += [(100, None), (101, [0.0] * 8), (102, [float("nan")] * 8), (103, [None] * 8), (104, rows[0][1])]
+    rows += [(100, None), (101, [0.0] * 8), (102, [float("nan")] * 8), (103, [None] * 8), (104, rows[0][1]), (5, [math.cos(k) for k in range(8)]), (7, rows[7][1])]
+    rows += [(200 + i, [float(i), 1.0]) for i in range(4)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in neighbours.nearest(vectors, vectors.where("vec_id % 10 = 0"), k=3).collect()}
-    fine = [r for r in rows if r[0] < 100 or r[0] == 104]
-    for q in (0, 10, 20, 30):
-        best = sorted((math.dist(rows[q][1], v), i) for i, v in fine if i != q)[:3]
+    found = neighbours.nearest(vectors, vectors.where("vec_id % 10 = 0"), k=3, probes=8 * 16).collect()
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found}
+    fine = [r for r in rows if r[0] < 100 or r[0] >= 104]
+    for q, v in [(q, v) for q, v in fine if q % 10 == 0]:
+        best = sorted((math.dist(v, x), i) for i, x in fine if i != q and len(x) == len(v))[:3]
         for rank, (d, i) in enumerate(best, 1):
             assert got[q, rank][0] == i and got[q, rank][1] == pytest.approx(d)
-    assert len(got) == 12
+    assert len(got) == len(found) == 15
+    assert neighbours.nearest(vectors.limit(0), vectors).count() == 0 and neighbours.nearest(vectors, vectors.limit(0)).count() == 0
+
+
+def test_recall_of_nearest(spark):
+    """Even unit vectors, the hardest case: at least 0.9 of the ten nearest, without comparing all."""
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(6000, 64))
+    x[1::7] = x[::7][: len(x[1::7])] + 0.02 * x[1::7]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0")).groupBy("query_id").agg(F.collect_set("vec_id").alias("near")).collect()
+    right = 0
+    for r in found:
+        d = ((x - x[r["query_id"]]) ** 2).sum(1)
+        d[r["query_id"]] = np.inf
+        right += len(set(np.argsort(d)[:10].tolist()) & set(r["near"]))
+    assert len(found) == 60 and right >= 0.9 * 600
+    probes = neighbours.fitted_probes(x[:4096], neighbours.TABLES, 7)
+    own = neighbours.buckets(x, neighbours.TABLES)
+    compared = np.mean([np.isin(own, p).any(1).mean() for p in neighbours.probes_of(x[::100], neighbours.TABLES, probes)])
+    assert compared < 0.6
 
 
 @pytest.mark.parametrize("hash_bits", [64, 5], ids=["", "hashes that meet"])
@@ -183,6 +206,8 @@ def test_encoding_matches_the_tokenizer(docs, empty, hash_bits):
         assert r["ids"] == want, r["doc_id"]
         assert r["decoded"] == tokenizer.decode(want)
     assert pieces.encode(empty, model).count() == 0
+    coded = docs.sparkSession.createDataFrame([(1, tokenizer.encode("a text")), (2, None), (3, [])], "n int, ids array<int>")
+    assert {r["n"]: r["decoded"] for r in pieces.decode(coded, model).collect()} == {1: "a text", 2: None, 3: ""}
 
 
 def test_ordinal_regression(spark, docs):
