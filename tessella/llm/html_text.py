@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -17,18 +18,18 @@ BLOCKS = frozenset(
     "header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that never hold main text.
-LEFT_OUT = frozenset(
-    "aside audio button canvas datalist dialog footer form head header iframe input label math menu nav noscript object option search select style script svg template textarea title video".split()
-)
-#: Words of class and id names whose elements don't either.
+#: Elements whose text isn't shown as text.
+UNSEEN = frozenset("audio button canvas datalist head iframe input math noscript object option script select style svg template textarea title video".split())
+#: Elements that seldom hold main text: evidence against what is in them, as the words of LABELS are.
+AGAINST = frozenset("aside dialog footer form header label menu nav search".split())
+#: Words of class and id names that are evidence against an element.
 LABELS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright discussion disqus footer gdpr header "
     "links login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion recommended related replies reply "
     "respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe toolbar widget".split()
 )
 _NEGATED = frozenset("has no with without".split())
-#: These elements are kept whatever their class is.
+#: Evidence doesn't count against these elements themselves.
 _FRAME = frozenset("html body main article".split())
 #: Start tags that end an open element of the second kind, unless one of the third kind stands between.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"})}
@@ -36,8 +37,8 @@ _ENDS |= {"tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|textarea|title|noscript|iframe|xmp)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^<>]*)>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<[a-zA-Z/][^<>]*\Z"
     r"|(?P<text>[^<]+|<)",
@@ -45,8 +46,14 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
-#: In a text node's marks, an article or main element without a label; labelled elements are marked by numbers from 0.
-_INNER = -1
+#: The prior of a path: what evidence against an element leaves of its score, and what an article or main element makes of it.
+SUSPECT, FRAMED = 0.02, 2.0
+#: Scores below this are no main text on any page: about that of six letters without punctuation.
+FLOOR = 1.0
+#: Share of the chosen text that the container of the main text holds, and elements that can be one.
+HELD = 0.9
+_CONTAINERS = frozenset("article main section div td body html".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PUNCT = re.compile(r"[.,;:!?…。，！？；：]")
 
 
@@ -64,44 +71,52 @@ def _told(rest: str) -> tuple[bool, bool]:
     return hidden, labelled
 
 
-def _unlabelled(found: list[tuple[int, str, str, tuple[int, ...]]]) -> list[tuple[int, str, str]]:
-    """The nodes outside labelled elements, where a label counts for nothing on an element that holds most of the text of article and
-    main elements, or most of the page's text unless article and main elements outside labels hold over a fifth as much."""
-    held: dict[int, int] = {}
-    inner: dict[int, int] = {}
-    page = framed = outside = 0
-    for _, _, text, marks in found:
-        n = len(text.strip())
-        page += n
-        framed += n * (_INNER in marks)
-        outside += n * (_INNER in marks and max(marks) < 0)
-        for k, mark in enumerate(marks):
-            if mark != _INNER:
-                held[mark] = held.get(mark, 0) + n
-                inner[mark] = inner.get(mark, 0) + n * (_INNER in marks[k:])
-    dropped = {e for e in held if 2 * inner[e] <= framed}
-    dropped -= {e for e in dropped if 2 * held[e] > page and 5 * outside <= held[e]}
-    return [(block, path, text) for block, path, text, marks in found if dropped.isdisjoint(marks)]
-
-
-def text_nodes(page: str, by_label: bool = True) -> list[tuple[int, str, str]]:
-    """(block, tag path, text) of the nodes that can be main text, in page order; character references are still in the text."""
-    out: list[tuple[int, str, str, tuple[int, ...]]] = []
-    stack: list[tuple[str, str, bool, tuple[int, ...]]] = [("", "", False, ())]  # tag, path, left out, marks
-    block = labels = 0
-
-    def close(tags: set[str], barrier: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                return
-            if stack[i][0] in barrier:
-                return
-
-    for m in _TOKEN.finditer(page):
-        if (text := m["text"]) is not None:
-            if not stack[-1][2]:
-                out.append((block, stack[-1][1], text, stack[-1][3]))
+@dataclass
+class Page:
+    """Text nodes (block, element, text) in page order, character references still in the text; per element its parent (before it), tag, whether
+    there is evidence against it, its path's number and prior. Element 0 is the page."""
+
+    nodes: list[tuple[int, int, str]]
+    parent: list[int]
+    tag: list[str]
+    against: list[bool]
+    path: list[int] = field(default_factory=list)
+    prior: list[float] = field(default_factory=list)
+
+    def total(self, of_nodes: Iterable[tuple[int, float]]) -> list[float]:
+        """Of every element the sum of what nodes in it have."""
+        out = [0.0] * len(self.parent)
+        for e, n in of_nodes:
+            out[e] += n
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+
+def parse(text: str) -> Page:
+    """Cut a page into text nodes; every step looks at the ends of a few lists of open elements only, so the time follows the page's length."""
+    page = Page([], [0], [""], [False])
+    stack: list[int] = [0]
+    unseen = [False]
+    places: dict[str, list[int]] = {}
+    block = 0
+
+    def shut(at: int) -> None:
+        while len(stack) > at:
+            places[page.tag[stack.pop()]].pop()
+            unseen.pop()
+
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(tags: Iterable[str], barrier: Iterable[str] = ()) -> None:
+        if (at := last(tags)) > last(barrier):
+            shut(at)
+
+    for m in _TOKEN.finditer(text):
+        if (found := m["text"]) is not None:
+            if not unseen[-1]:
+                page.nodes.append((block, stack[-1], found))
             continue
         tag = m["tag"] or m["tag2"]
         if tag is None:
@@ -109,26 +124,53 @@ def text_nodes(page: str, by_label: bool = True) -> list[tuple[int, str, str]]:
         tag, rest = tag.lower(), m["rest"] or m["rest2"] or ""
         if tag in BLOCKS:
             block += 1
-        elif tag == "br" and not stack[-1][2]:
-            out.append((block, stack[-1][1], " ", stack[-1][3]))
+        elif tag == "br" and not unseen[-1]:
+            page.nodes.append((block, stack[-1], " "))
         if m["end"] or m["end2"]:
-            close({tag}, set())
+            close((tag,))
             continue
         if tag in BLOCKS:
-            close({"p"}, {"table", "button", "article", "section", "div", "body"} - {tag} if tag != "p" else {"table", "button"})
+            close(("p",), [t for t in ("table", "button", "article", "section", "div", "body") if t != tag] if tag != "p" else ("table", "button"))
         if tag in _ENDS:
             close(*_ENDS[tag])
         if tag in VOID:
             continue
         hidden, labelled = _told(rest) if rest else (False, False)
-        marks = stack[-1][3]
-        if labelled and tag not in _FRAME:
-            marks += (labels,)
-            labels += 1
-        elif tag in ("article", "main") and not labelled:
-            marks += (_INNER,)
-        stack.append((tag, f"{stack[-1][1]}/{tag}", stack[-1][2] or tag in LEFT_OUT or hidden and tag not in _FRAME, marks))
-    return _unlabelled(out) if by_label else [x[:3] for x in out]
+        places.setdefault(tag, []).append(len(stack))
+        page.parent.append(stack[-1])
+        page.tag.append(tag)
+        page.against.append((labelled or tag in AGAINST) and (tag not in _FRAME or labelled and tag in ("article", "main")))
+        stack.append(len(page.parent) - 1)
+        unseen.append(unseen[-1] or tag in UNSEEN or hidden and tag not in _FRAME)
+    _weigh(page)
+    return page
+
+
+def _weigh(page: Page) -> None:
+    """Paths and priors. Evidence against an element counts for nothing if it holds most of the text of article and main elements, or, for labels and
+    forms, most of the page's text unless article and main elements without evidence against them hold over a fifth as much; on article
+    and main elements it only takes their own advantage."""
+    n = len(page.parent)
+    frame = [t in ("article", "main") and not a for t, a in zip(page.tag, page.against)]
+    framed, doubted = frame[:], [a and t not in _FRAME for t, a in zip(page.tag, page.against)]
+    for e in range(1, n):
+        framed[e] |= framed[page.parent[e]]
+        doubted[e] |= doubted[page.parent[e]]
+    size = [(e, float(len(text.strip()))) for _, e, text in page.nodes]
+    held = page.total(size)
+    all_framed = sum(s for e, s in size if framed[e])
+    outside = sum(s for e, s in size if framed[e] and not doubted[e])
+    inner = [0.0] * n
+    for e in range(n - 1, 0, -1):
+        inner[page.parent[e]] += held[e] if frame[e] else inner[e]
+    page.path, page.prior = [0] * n, [1.0] * n
+    numbers: dict[tuple[int, str, bool], int] = {}
+    for e in range(1, n):
+        up = page.parent[e]
+        most = (page.tag[e] not in AGAINST or page.tag[e] == "form") and 2 * held[e] > held[0] and 5 * outside <= held[e]
+        suspect = page.against[e] and page.tag[e] not in _FRAME and 2 * inner[e] <= all_framed and not most
+        page.path[e] = numbers.setdefault((page.path[up], page.tag[e], suspect), len(numbers) + 1)
+        page.prior[e] = max(page.prior[up] * (SUSPECT if suspect else FRAMED if frame[e] and not framed[up] else 1.0), SUSPECT**3)
 
 
 def path_scores(page: np.ndarray, path: np.ndarray, length: np.ndarray, punct: np.ndarray) -> np.ndarray:
@@ -154,54 +196,69 @@ def path_scores(page: np.ndarray, path: np.ndarray, length: np.ndarray, punct: n
     return np.bincount(key, fused)[key] / nodes[key]
 
 
-def main_blocks(pages: list[str], threshold: float = 0.5) -> list[str]:
+def main_blocks(texts: list[str], threshold: float = 0.5) -> list[str]:
     """The main text of each page: blocks joined by newlines.
 
-    Paths that score at least `threshold` times the page's text-weighted mean are content; so is what shares their container:
-    an article or main element if it holds most of the content's text, else the element that directly holds the path's blocks."""
-    found = [text_nodes(p) for p in pages]
-    for k, nodes in enumerate(found):
-        if not any(t.strip() for _, _, t in nodes):
-            found[k] = text_nodes(pages[k], by_label=False)
-    flat = [(k, block, path, html.unescape(text)) for k, nodes in enumerate(found) for block, path, text in nodes]
-    real = [(k, block, path, text, len(s)) for k, block, path, text in flat if (s := text.strip())]
+    Nodes are chosen by the score of their path, the fused ratios times the path's prior, if it is at least `threshold` times the page's
+    text-weighted mean. With them go the nodes without evidence against them that share their container (`_taken`), as headings do."""
+    pages = [parse(t) for t in texts]
+    flat = [(k, block, e, html.unescape(text)) for k, p in enumerate(pages) for block, e, text in p.nodes]
+    real = [(i, k, e, len(s), len(_PUNCT.findall(s))) for i, (k, _, e, text) in enumerate(flat) if (s := text.strip())]
     if not real:
-        return [""] * len(pages)
-    page, path = np.array([x[0] for x in real]), pd.factorize(np.array([x[2] for x in real], dtype=object))[0]
-    length, punct = np.array([x[4] for x in real], dtype=float), np.array([len(_PUNCT.findall(x[3])) for x in real], dtype=float)
-    score = path_scores(page, path, length, punct)
+        return [""] * len(texts)
+    page, length, punct = (np.array([x[j] for x in real]) for j in (1, 3, 4))
+    path, prior = np.array([pages[k].path[e] for _, k, e, *_ in real]), np.array([pages[k].prior[e] for _, k, e, *_ in real])
+    score = path_scores(page, path, length.astype(float), punct.astype(float)) * prior
     mass = np.bincount(page, length, minlength=len(pages))
     bar = threshold * np.bincount(page, length * score, minlength=len(pages)) / np.maximum(mass, 1)
-    chosen: list[dict[str, float]] = [{} for _ in pages]
-    for i in np.flatnonzero(score >= bar[page]):
-        k, _, where, _, n = real[i]
-        chosen[k][where] = chosen[k].get(where, 0.0) + n
-    containers = [_containers(c) for c in chosen]
-    blocks: list[dict[int, list[str]]] = [{} for _ in pages]
-    for k, block, where, text in flat:
-        if containers[k] and (where.startswith(containers[k]) or where + "/" in containers[k]):
-            blocks[k].setdefault(block, []).append(text)
-    return ["\n".join(s for b in sorted(x) if (s := " ".join("".join(x[b]).split()))) for x in blocks]
-
-
-def _containers(chosen: dict[str, float]) -> tuple[str, ...]:
-    """Path prefixes, each with a final slash, of the elements that hold the chosen paths."""
-    total = sum(chosen.values())
-    for tag in ("article", "main"):
-        inside: dict[str, float] = {}
-        for where, n in chosen.items():
-            if f"/{tag}/" in f"{where}/":
-                root = where[: f"{where}/".index(f"/{tag}/") + len(tag) + 1]
-                inside[root] = inside.get(root, 0.0) + n
-        if inside and sum(inside.values()) > 0.5 * total:
-            return tuple(f"{root}/" for root in inside)
-    out = set()
-    for where in chosen:
-        parts = where.split("/")
-        last = max((i for i, p in enumerate(parts) if p in BLOCKS), default=len(parts) - 1)
-        keep = parts[:last] if parts[last] not in ("body", "html", "div", "section") and last > 1 else parts[: last + 1]
-        out.add("/".join(keep) + "/")
-    return tuple(out)
+    chosen: list[dict[int, int]] = [{} for _ in pages]
+    for j in np.flatnonzero((score >= bar[page]) & (score >= FLOOR)):
+        chosen[page[j]][real[j][0]] = int(length[j])
+    nodes: list[list[tuple[int, int, int, str]]] = [[] for _ in pages]
+    for i, (k, block, e, text) in enumerate(flat):
+        nodes[k].append((i, block, e, text))
+    out = []
+    for k, p in enumerate(pages):
+        blocks: dict[int, list[str]] = {}
+        for block, text in _taken(p, nodes[k], chosen[k]):
+            blocks.setdefault(block, []).append(text)
+        out.append("\n".join(s for b in sorted(blocks) if (s := " ".join("".join(blocks[b]).split()))))
+    return out
+
+
+def _taken(page: Page, nodes: list[tuple[int, int, int, str]], chosen: dict[int, int]) -> Iterator[tuple[int, str]]:
+    """(block, text) of the chosen nodes and of those in their container: the article, main or smallest sectioning element that holds HELD of the chosen
+    text. Where that is the whole body, only what stands between chosen nodes goes along, and headings before them."""
+    if not chosen:
+        return
+    total = page.total((e, chosen[i]) for i, _, e, _ in nodes if i in chosen)
+    top = 0
+    for e in range(1, len(total)):
+        if page.parent[e] == top and total[e] >= HELD * total[0]:
+            top = e
+    while top and page.tag[top] not in _CONTAINERS:
+        top = page.parent[top]
+    up = top
+    while up and not (page.tag[up] in ("article", "main") and page.prior[up] > SUSPECT):
+        up = page.parent[up]
+    top = up or top
+    inside = [False] * len(page.parent)
+    heading = inside[:]
+    for e in range(len(inside)):
+        inside[e] = e == top or e > 0 and inside[page.parent[e]]
+        heading[e] = page.tag[e] in _HEADINGS or e > 0 and heading[page.parent[e]]
+    kept = [i in chosen or inside[e] and page.prior[e] > 2 * SUSPECT for i, _, e, _ in nodes]
+    if page.tag[top] in ("", "html", "body"):
+        at = [j for j, (i, *_) in enumerate(nodes) if i in chosen]
+        first, last = at[0], at[-1]
+        while first and (heading[nodes[first - 1][2]] or not nodes[first - 1][3].strip()):
+            first -= 1
+        kept = [x and first <= j <= last for j, x in enumerate(kept)]
+    blocks = {block for (_, block, _, _), x in zip(nodes, kept) if x}
+    for (_, block, e, text), x in zip(nodes, kept):
+        # White space between the parts of a block belongs to it.
+        if x or block in blocks and not text.strip():
+            yield block, text
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), threshold: float = 0.5) -> DataFrame:
@@ -211,8 +268,11 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str,
     the batch. Nothing is shuffled.
 
     Cases: null and empty pages give an empty text, and so do pages without text outside menus and the like; pages cut off in the
-    middle are read as far as they go; repeated rows give repeated results; other columns are ignored.
+    middle are read as far as they go; repeated rows give repeated results; other columns are ignored; a column of `keep` named as a
+    result is an error; an empty table gives an empty result.
     """
+    if {"text", "n_chars"} & set(keep):
+        raise ValueError("columns to keep have the names of results")
     kept = [pages.schema[c] for c in keep]
     schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
