@@ -10,25 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import drop_staged, lower_ascii, scratch_path, staged, words
+from .common import scratch_path, staged
 from .shared import SortedShards
+from .tokens import MUL, hashed_texts, mixed
 
 WIDTH = 5
 #: Links have num * union <= den * intersection: 0.75 as a fraction.
 NUM, DEN = 3, 4
 #: Documents that a task turns into arrays at once, and tokens that it sums before it hands them on.
 BATCH_DOCS = 512
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 3_000_000
 #: First bits of a token that document frequencies are kept by. Tokens that share them only make a frequency too high, which costs pruning, not results.
 KEY_BITS = 48
 _LOW = np.uint64((1 << (64 - KEY_BITS)) - 1)
-_MUL = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Bytes of text, or eight times as many tokens' bytes, for each file of frequencies.
+SHARD_BYTES = 4_000_000
 
 
 def shingles(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -39,21 +35,29 @@ def shingles(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
     k = min(n, width)
     out = np.full(n - k + 1, k, np.uint64)
     for d in range(k):
-        out = out * _MUL + hashes[d : n - k + 1 + d]
-    return np.unique(_mixed(out))
+        out = out * MUL + hashes[d : n - k + 1 + d]
+    return np.unique(mixed(out))
 
 
-def _token_sets(batch: pa.RecordBatch, column: str, hashed: bool) -> list[np.ndarray]:
-    lists = batch.column(batch.schema.get_field_index(column))
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    cut = [flat[a:b] for a, b in zip(ends, ends[1:])]
-    return [shingles(x) for x in cut] if hashed else cut
+def _token_sets(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The sets of some rows, part by part: of texts, or of lists of tokens."""
+    if not pa.types.is_list(column.type):
+        for _, hashes, sizes in hashed_texts(column):
+            yield [shingles(x) for x in np.split(hashes, np.cumsum(sizes)[:-1])]
+        return
+    for at in range(0, len(column), BATCH_DOCS):
+        part = column.slice(at, BATCH_DOCS)
+        ends, flat = part.offsets.to_numpy(), part.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        yield [flat[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows and their sets, part by part."""
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH_DOCS):
-            yield batch.slice(at, BATCH_DOCS)
+        at = 0
+        for sets in _token_sets(batch.column(batch.schema.get_field_index(column))):
+            yield batch.slice(at, len(sets)), sets
+            at += len(sets)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -69,13 +73,15 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def document_frequencies(sets: DataFrame, column: str, hashed: bool, name: str) -> SortedShards:
+def document_frequencies(sets: DataFrame, column: str, name: str) -> SortedShards:
     """How many sets hold each token, for tokens of two sets or more, as sorted arrays in the shared folder.
 
     A task sums tokens before the shuffle and hands on sorted differences, a few bytes for each distinct token, by the tokens'
-    first bits; these are even however skewed the tokens are."""
+    first bits; these are even however skewed the tokens are, and as many as the size of all sets asks for."""
     spark = sets.sparkSession
-    bits = max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    text = sets.schema[column].dataType.typeName() == "string"
+    size = sets.agg(F.sum(F.octet_length(column) if text else F.size(column)).alias("n")).first()["n"] or 0
+    bits = max(1, (size // (SHARD_BYTES if text else SHARD_BYTES // 8)).bit_length())
     shards = SortedShards(scratch_path(spark, name), bits, ("df",))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +95,9 @@ def document_frequencies(sets: DataFrame, column: str, hashed: bool, name: str)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "keys", "counts"])
 
-        for part in _pieces(batches):
-            held += [x for x in _token_sets(part, column, hashed) if len(x)]
-            size += sum(map(len, held[-part.num_rows :]))
+        for _, part in _parts(batches, column):
+            held += [x for x in part if len(x)]
+            size += sum(map(len, part))
             if size >= CHUNK_TOKENS:
                 yield flush()
                 size = 0
@@ -141,21 +147,20 @@ def _lists(sets: list[np.ndarray | None]) -> pa.Array:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n (tokens of the set), h1, h2 (of the whole set), tokens: those that another document has too, or null if too few for any link."""
-    hashed = docs.select(F.col(id_col).alias("id"), F.transform(words(lower_ascii(F.col(text_col))), lambda w: F.xxhash64(w)).alias("hashes"))
-    seen = document_frequencies(hashed, "hashes", True, "shingle-counts")
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    seen = document_frequencies(plain, "text", "shingle-counts")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _pieces(batches):
-            sets = _token_sets(part, "hashes", True)
+        for part, sets in _parts(batches, "text"):
             shared = [x[f > 0] for x, f in zip(sets, _frequencies(seen, sets))]
             n = np.array([len(x) for x in sets], np.int64)
-            h1 = np.array([np.bitwise_xor.reduce(_mixed(x)) if len(x) else 0 for x in sets], np.uint64)
-            h2 = np.array([np.add.reduce(_mixed(x ^ _MUL)) if len(x) else 0 for x in sets], np.uint64)
+            h1 = np.array([np.bitwise_xor.reduce(mixed(x)) if len(x) else 0 for x in sets], np.uint64)
+            h2 = np.array([np.add.reduce(mixed(x ^ MUL)) if len(x) else 0 for x in sets], np.uint64)
             kept = [x if len(x) and len(x) >= _least(k) else None for x, k in zip(shared, n)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), _signed(h1), _signed(h2), _lists(kept)], names=["id", "n", "h1", "h2", "tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return staged(hashed.mapInArrow(describe, f"id {kind}, n long, h1 long, h2 long, tokens array<long>"), "shingle-sets")
+    return staged(plain.mapInArrow(describe, f"id {kind}, n long, h1 long, h2 long, tokens array<long>"), "shingle-sets")
 
 
 def _ordered(sets: DataFrame, seen: SortedShards, kind: str) -> tuple[DataFrame, DataFrame]:
@@ -163,8 +168,7 @@ def _ordered(sets: DataFrame, seen: SortedShards, kind: str) -> tuple[DataFrame,
     with their positions."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _pieces(batches):
-            sets_ = _token_sets(part, "tokens", False)
+        for part, sets_ in _parts(batches, "tokens"):
             ids, ns = part.column(0), part.column(1).to_numpy()
             keep, tokens, prefixes, places = [], [], [], []
             for i, (x, f) in enumerate(zip(sets_, _frequencies(seen, sets_))):
@@ -275,7 +279,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = signatures(docs, id_col, text_col)
     classes = staged(members.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("cid"), F.first("tokens", ignorenulls=True).alias("tokens")), "shingle-classes")
     sets = classes.where("tokens is not null and cid is not null")
-    kept, postings = _ordered(sets, document_frequencies(sets, "tokens", False, "class-counts"), kind)
+    kept, postings = _ordered(sets, document_frequencies(sets, "tokens", "class-counts"), kind)
     found = components(kept, postings)
     named = classes.select("h1", "h2", "n", "cid").join(found, "cid", "left").select("h1", "h2", "n", F.coalesce("component", "cid").alias("component"))
     out = members.select("id", "h1", "h2", "n").join(named, ["h1", "h2", "n"], "left")
