@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import drop_staged, remove, scratch_path, staged, without_old_shuffles  # noqa: F401
@@ -43,6 +43,17 @@ def with_parameters(rows: DataFrame, parameters: DataFrame, on: Column, bound: i
     return rows.join(F.broadcast(parameters) if small else parameters, on, how)
 
 
+#: Rows of whole texts that go to a worker at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to workers in batches of at most BATCH_ROWS rows from now on in this session: both sides hold a batch in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file:/ URI, None for other stores."""
     if uri.startswith("file:"):

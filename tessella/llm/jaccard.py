@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import scratch_path, staged
+from .common import scratch_path, small_batches, staged
 from .shared import SortedShards
 from .tokens import MUL, hashed_texts, mixed
 
@@ -147,6 +147,7 @@ def _lists(sets: list[np.ndarray | None]) -> pa.Array:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n (tokens of the set), h1, h2 (of the whole set), tokens: those that another document has too, or null if too few for any link."""
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     seen = document_frequencies(plain, "text", "shingle-counts")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_staged, remove, scratch_path, staged, without_old_shuffles
+from .common import drop_staged, remove, scratch_path, small_batches, staged, without_old_shuffles
 from .shared import HashArrays, SortedShards
 from .tokens import MUL, hashed_texts, mixed
 
@@ -282,6 +282,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, hot_share: fl
     if order < 2:
         raise ValueError("the order must be 2 or more")
     spark = docs.sparkSession
+    small_batches(spark)
     root = scratch_path(spark, "ngram-model")
     with without_old_shuffles(spark):
         size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_staged, scratch_path, staged
+from .common import drop_staged, scratch_path, small_batches, staged
 from .shared import SortedShards, ragged
 from .tokens import MUL, mixed, parts, powers
 
@@ -406,6 +406,7 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
     names = [*keep, "ids", *([decoded] if decoded else [])]
     if len(set(names)) < len(names):
         raise ValueError("a column to keep has the name of a result")
+    small_batches(docs.sparkSession)
     words = build_dictionary(docs, model, text_col, hash_bits)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
 

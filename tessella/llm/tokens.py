@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are turned into arrays at once; a longer text is one such part by itself.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 #: Rows of a batch that are looked at together.
 BATCH_DOCS = 1024
 
