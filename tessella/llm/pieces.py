@@ -313,6 +313,8 @@ def fold_viterbi(edges: DataFrame, model: Model, unknown_score: float = -1e6) ->
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
     """key, word, ids for a table of distinct words, read more than once."""
     pieces = piece_table(words.sparkSession, model)
+    # Words are dealt once, before they are cut into substrings, so that no edge has to be.
+    words = words.repartition("key")
     if not model.merges:
         return fold_viterbi(lattice(short_windows(words, model.longest), pieces), model)
     if model.longest > _SLOT:
