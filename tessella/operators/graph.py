@@ -1,11 +1,31 @@
-"""Directed graphs as edge tables (src, dst): every loop's state is a written table, and nothing is gathered on the driver but counts."""
+"""Directed graphs as edge tables (src, dst): weakly connected parts of a bounded, counted size are walked within tasks, as deep as they may be;
+larger ones in rounds of joins. Every loop's state is a written table, and nothing is gathered on the driver but counts."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import drop_staged, staged
+from .components import connected_components
+from .walks import Arrows, longest_walks, reached, shortest_cycle, strong_groups
+
+#: Edges of a weakly connected part up to which one task walks it, some 100 MB; larger parts take rounds of joins with the same result.
+TASK_EDGES = 500_000
+
+
+def _parts(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct edges (src, dst, part) of the parts of at most `most` edges, those of larger ones (src, dst), and part of every node (node, part)
+    of the former."""
+    edges = staged(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "graph-edges")
+    loops = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).unionByName(edges.select(F.col("dst").alias("node"), F.col("dst").alias("component")))
+    found = connected_components(edges).unionByName(loops).groupBy("node").agg(F.min("component").alias("part"))
+    placed = staged(edges.join(found.withColumnRenamed("node", "src"), "src").select("src", "dst", "part"), "graph-parts")
+    large = staged(placed.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > most).select("part"), "graph-large")
+    small = placed.join(large, "part", "left_anti").select("src", "dst", "part")
+    nodes = small.select(F.col("src").alias("node"), "part").unionByName(small.select(F.col("dst").alias("node"), "part")).distinct()
+    return small, placed.join(large, "part", "left_semi").select("src", "dst"), staged(nodes, "graph-nodes")
 
 
 def module_graph(modules: DataFrame, edges: DataFrame) -> DataFrame:
@@ -18,33 +38,39 @@ def module_graph(modules: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("module", *[F.coalesce(F.col(c).cast("array<string>"), empty).alias(c) for c in ("dependencies", "dependents")])
 
 
-def reachable(roots: DataFrame, edges: DataFrame, node: str = "node", max_rounds: int = 10_000) -> DataFrame:
-    """All nodes on a path from a root, roots included, a frontier at a time; each round joins only what the last one found."""
-    edges = staged(edges.select("src", "dst").distinct(), "reach-edges")
-    frontier = staged(roots.select(F.col(node)).distinct(), "reach")
-    seen = frontier
-    for _ in range(max_rounds):
-        step = frontier.join(edges, F.col(node) == F.col("src")).select(F.col("dst").alias(node)).distinct()
-        frontier = staged(step.join(seen, node, "left_anti"), "reach")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError("reachability did not settle")
+def reachable(roots: DataFrame, edges: DataFrame, node: str = "node", most: int = TASK_EDGES) -> DataFrame:
+    """All nodes on a path from a root, roots included."""
+    small, large, nodes = _parts(edges, most)
+    roots = staged(roots.select(F.col(node).alias("node")).distinct(), "reach-roots")
+    kind = roots.schema["node"].dataType.simpleString()
+    starts = roots.join(nodes, "node")
 
+    def walk(some: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        if begin.empty or some.empty:
+            return pd.DataFrame({"node": begin["node"]})
+        arrows = Arrows(some["src"], some["dst"])
+        return pd.DataFrame({"node": arrows.nodes[reached(arrows, arrows.number(begin["node"]))]})
 
-def doubled_reach(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """All pairs (src, dst) with a path, by doubling path lengths: as many rounds as the logarithm of the longest path. For small graphs, as
-    the pairs are counted in squares."""
-    paths = staged(edges.select("src", "dst").distinct(), "paths")
-    n = paths.count()
+    found = small.join(starts.select("part").distinct(), "part", "left_semi").groupBy("part").cogroup(starts.groupBy("part")).applyInPandas(walk, f"node {kind}")
+    found = found.unionByName(roots)
+    if not large.isEmpty():
+        found = found.unionByName(_reach_rounds(roots, large))
+    return found.distinct().withColumnRenamed("node", node)
+
+
+def _reach_rounds(roots: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """node: a frontier at a time; each round joins only what the last one found."""
+    edges = staged(edges, "reach-edges")
+    frontier = seen = staged(roots.select("node").distinct(), "reach")
     for _ in range(max_rounds):
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        following = staged(paths.unionByName(longer).distinct(), "paths")
-        drop_staged(paths)
-        paths, before, n = following, n, following.count()
-        if n == before:
-            return paths
-    raise RuntimeError("paths did not settle")
+        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        following = staged(step.join(seen, "node", "left_anti"), "reach")
+        if following.isEmpty():
+            return seen
+        before, frontier = seen, following
+        seen = staged(seen.unionByName(frontier), "reach-seen")
+        drop_staged(before)
+    raise RuntimeError("reachability did not settle")
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -80,13 +106,31 @@ def _jumps(edges: DataFrame, colour: DataFrame) -> DataFrame:
     return colour.where("colour <> node").select(F.col("colour").alias("src"), F.col("node").alias("dst"))
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """node, component (its smallest node) for nodes of components of two or more, and of self loops.
+def strong_components(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
+    """node, component (its smallest node) for nodes of components of two or more, and of self loops."""
+    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    small, large, _ = _parts(edges.where("src <> dst"), most)
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def walk(some: pd.DataFrame) -> pd.DataFrame:
+        arrows = Arrows(some["src"], some["dst"])
+        group = strong_groups(arrows)
+        frame = pd.DataFrame({"node": arrows.nodes, "component": arrows.nodes[group]})
+        return frame[frame.groupby("component")["node"].transform("size") > 1]
+
+    found = small.groupBy("part").applyInPandas(walk, f"node {kind}, component {kind}")
+    if not large.isEmpty():
+        found = found.unionByName(_strong_rounds(large))
+    found = staged(found, "scc-found")
+    return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
+
+
+def _strong_rounds(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """node, component of components of two or more nodes.
 
     Nodes get the smallest node that reaches them; within one colour, what reaches the colour's own node is its component. Found components
     go, and the rest is coloured again."""
-    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
-    rest, found = staged(edges.where("src <> dst").select("src", "dst").distinct(), "scc-edges"), None
+    rest, found = staged(edges, "scc-edges"), None
     for _ in range(max_rounds):
         rest = _trimmed(rest)
         if rest.isEmpty():
@@ -97,7 +141,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         # Backwards from each colour's own node, within the colour.
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         roots = colour.where("node = colour").select("node")
-        members = reachable(roots, back).join(colour, "node").select("node", F.col("colour").alias("component"))
+        members = _reach_rounds(roots, back).join(colour, "node").select("node", F.col("colour").alias("component"))
         big = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
         done = staged(members.join(big, "component", "left_semi").select("node", "component"), "scc-found")
         found = done if found is None else found.unionByName(done)
@@ -105,63 +149,87 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         rest = rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
     else:
         raise RuntimeError("components did not settle")
-    if found is None:
-        return loops
-    return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
+    return found if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("component")).where(F.lit(False))
 
 
-def cycle_witnesses(edges: DataFrame, members: DataFrame, max_rounds: int = 20_000) -> DataFrame:
+def cycle_witnesses(edges: DataFrame, members: DataFrame, most: int = TASK_EDGES) -> DataFrame:
     """component, witness: a shortest cycle through each component's smallest node, within the component; of equals the one whose
-    nodes come first. Frontiers of all components grow together."""
+    nodes come first."""
     m = lambda end: members.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
     inside = staged(edges.select("src", "dst").distinct().join(m("src"), "src").join(m("dst"), "dst").where("c_src = c_dst").select(F.col("c_src").alias("component"), "src", "dst"), "witness-edges")
+    large = staged(inside.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component"), "witness-large")
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def walk(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
+        arrows = Arrows(some["src"], some["dst"])
+        path = [arrows.nodes[i] for i in shortest_cycle(arrows, arrows.number([key[0]])[0])]
+        return pd.DataFrame({"component": [key[0]], "witness": [path]})
+
+    found = inside.join(large, "component", "left_anti").groupBy("component").applyInPandas(walk, f"component {kind}, witness array<{kind}>")
+    return found if large.isEmpty() else found.unionByName(_witness_rounds(inside.join(large, "component", "left_semi"), members.join(large, "component", "left_semi")))
+
+
+def _witness_rounds(inside: DataFrame, members: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """Frontiers of all components grow together."""
     frontier = staged(members.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("path")), "witness")
-    seen, found = frontier.select("component", "node").where(F.lit(False)), None
+    seen, found = staged(frontier.select("component", "node").where(F.lit(False)), "witness-seen"), None
     for _ in range(max_rounds):
         step = frontier.join(inside.withColumnRenamed("src", "node"), ["component", "node"]).select("component", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         best = staged(step.groupBy("component", "node").agg(F.min("path").alias("path")).join(seen, ["component", "node"], "left_anti"), "witness")
         if best.isEmpty():
             break
         closed = best.where("node = component").select("component", F.col("path").alias("witness"))
-        found = closed if found is None else found.unionByName(closed)
-        done = found.select("component")
-        frontier = best.where("node <> component").join(done, "component", "left_anti")
-        seen = seen.unionByName(best.select("component", "node"))
+        found = staged(closed if found is None else found.unionByName(closed), "witness-found")
+        frontier = best.where("node <> component").join(found.select("component"), "component", "left_anti")
+        seen = staged(seen.unionByName(best.select("component", "node")), "witness-seen")
     return found if found is not None else frontier.select("component", F.col("path").alias("witness")).where(F.lit(False))
 
 
-def generations(nodes: DataFrame, edges: DataFrame, scope: str | None = None, max_rounds: int = 10_000) -> DataFrame:
-    """node, depth, next: the longest distance to a leaf and the callee it leads through (the smallest of equals). Nodes on cycles, and all that
-    lead to them, are left out.
+def generations(nodes: DataFrame, edges: DataFrame, scope: str | None = None, most: int = TASK_EDGES) -> DataFrame:
+    """node, depth, next: the longest distance to a leaf and the callee it leads through. Of equally deep callees the smallest is next, whatever the
+    order in which calls were met. Nodes on cycles, and all that lead to them, are left out.
 
-    With `scope`, a column of `nodes`, edges into another scope give their source a depth of at least one and aren't followed.
-    Each round takes nodes whose callees are all known."""
-    known_nodes = nodes.select("node", *([scope] if scope else [])).distinct()
-    edges = edges.select("src", "dst").distinct()
+    With `scope`, a column of `nodes`, edges into another scope aren't followed: their callees count as leaves."""
+    known = nodes.select("node", *([scope] if scope else [])).distinct()
+    kind = nodes.schema["node"].dataType.simpleString()
+    edges = edges.select("src", "dst").distinct().join(known.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    outward = known.select("node", F.col("node").alias("out")).where(F.lit(False))
     if scope:
-        s = lambda end: known_nodes.select(F.col("node").alias(end), F.col(scope).alias(f"s_{end}"))
+        s = lambda end: known.select(F.col("node").alias(end), F.col(scope).alias(f"s_{end}"))
         joined = edges.join(s("src"), "src").join(s("dst"), "dst")
-        outward = joined.where("s_src <> s_dst").select(F.col("src").alias("node")).distinct().withColumn("floor", F.lit(1))
+        outward = joined.where("s_src <> s_dst").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("out"))
         edges = joined.where("s_src = s_dst").select("src", "dst")
-    else:
-        outward = known_nodes.select("node").where(F.lit(False)).withColumn("floor", F.lit(1))
-    edges = staged(edges, "generation-edges")
-    base = known_nodes.select("node").join(outward, "node", "left").select("node", F.coalesce("floor", F.lit(0)).alias("floor"))
-    waiting = staged(base, "generation-waiting")
-    kind = nodes.schema["node"].dataType.simpleString()
-    done = None
+    base = staged(known.select("node").distinct().join(outward, "node", "left"), "generation-nodes")
+    small, large, parts = _parts(edges, most)
+    told = base.where("out is not null").join(parts, "node")
+
+    def walk(some: pd.DataFrame, calls: pd.DataFrame) -> pd.DataFrame:
+        rows = longest_walks(Arrows(some["src"], some["dst"]), dict(zip(calls["node"], calls["out"]))) if len(some) else []
+        return pd.DataFrame(rows, columns=["node", "depth", "next"])
+
+    walked = small.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(walk, f"node {kind}, depth long, next {kind}")
+    ends = large.select(F.col("src").alias("node")).union(large.select("dst"))
+    alone = base.join(parts, "node", "left_anti").join(ends, "node", "left_anti")
+    found = walked.unionByName(alone.select("node", F.when(F.col("out").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("out").alias("next")))
+    if large.isEmpty():
+        return found
+    return found.unionByName(_generation_rounds(base.join(ends, "node", "left_semi"), large, kind))
+
+
+def _generation_rounds(base: DataFrame, edges: DataFrame, kind: str, max_rounds: int = 100_000) -> DataFrame:
+    """Each round takes nodes whose callees are all known."""
+    edges, waiting = staged(edges, "generation-edges"), staged(base, "generation-waiting")
+    done = staged(base.select("node", F.lit(0).cast("long").alias("depth"), F.lit(None).cast(kind).alias("next")).where(F.lit(False)), "generation")
     for _ in range(max_rounds):
         blocked = edges.join(waiting.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
         ready = waiting.join(blocked, "node", "left_anti")
-        if done is None:
-            new = ready.select("node", F.col("floor").cast("long").alias("depth"), F.lit(None).cast(kind).alias("next"))
-        else:
-            below = edges.join(done.select(F.col("node").alias("dst"), "depth"), "dst").groupBy(F.col("src").alias("node")).agg(F.max("depth").alias("d"), F.min_by("dst", F.struct(-F.col("depth"), "dst")).alias("next"))
-            new = ready.join(below, "node", "left").select("node", F.greatest(F.col("floor").cast("long"), F.coalesce(F.col("d") + 1, F.lit(0))).alias("depth"), "next")
-        new = staged(new, "generation")
+        called = edges.join(done.select(F.col("node").alias("dst"), "depth"), "dst").select(F.col("src").alias("node"), "dst", "depth")
+        called = called.unionByName(waiting.where("out is not null").select("node", F.col("out").alias("dst"), F.lit(0).cast("long").alias("depth")))
+        below = called.groupBy("node").agg(F.max("depth").alias("d"), F.min_by("dst", F.struct(-F.col("depth"), "dst")).alias("next"))
+        new = staged(ready.select("node").join(below, "node", "left").select("node", F.coalesce(F.col("d") + 1, F.lit(0)).cast("long").alias("depth"), "next"), "generation-new")
         if new.isEmpty():
             break
-        done = new if done is None else done.unionByName(new)
+        done = staged(done.unionByName(new), "generation")
         waiting = staged(waiting.join(new.select("node"), "node", "left_anti"), "generation-waiting")
     return done
 
@@ -186,8 +254,6 @@ def separate_groups(exports: DataFrame, edges: DataFrame) -> DataFrame:
     """module, export, cohort: exports of a module whose reachable symbols overlap, directly or by way of others, share a cohort (the smallest export).
 
     exports(module, export); edges(src, dst) between symbols. Exports and what they reach are one bipartite graph per module."""
-    from .components import connected_components
-
     starts = exports.select("module", "export").distinct()
     pairs = staged(starts.select("module", "export", F.col("export").alias("symbol")), "cohort")
     seen = pairs

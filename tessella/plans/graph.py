@@ -100,7 +100,7 @@ FUNCTIONS = "('top', 'a'), ('middle', 'a'), ('leaf', 'a'), ('api', 'b'), ('deep'
 EDGES = "('top', 'middle'), ('top', 'leaf'), ('top', 'api'), ('middle', 'api'), ('api', 'deep'), ('loop', 'loop'), ('over', 'loop')"
 
 
-@query("SELECT * FROM (VALUES ('top', 2, 'middle'), ('middle', 1, NULL), ('leaf', 0, NULL), ('api', 1, 'deep'), ('deep', 0, NULL)) AS v(node, d, next)".replace("SELECT *", "SELECT node, CAST(d AS BIGINT) AS depth, next"))
+@query("SELECT * FROM (VALUES ('top', 2, 'middle'), ('middle', 1, 'api'), ('leaf', 0, NULL), ('api', 1, 'deep'), ('deep', 0, NULL)) AS v(node, d, next)".replace("SELECT *", "SELECT node, CAST(d AS BIGINT) AS depth, next"))
 def g04_module_generations(spark, sf_dir):
     return G.generations(inline(spark, FUNCTIONS, "node, module"), inline(spark, EDGES, "src, dst"), "module")
 
@@ -116,9 +116,11 @@ def hl121_generation_gap(spark, sf_dir):
     return M.limit_exceeded(gaps, "gap", 1).select(F.lit("HL121").alias("rule"), "src", "dst", "gap")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'error'), p AS (SELECT x.a AS src, y.a AS dst FROM e x JOIN e y ON x.k = y.k AND x.a < y.a AND x.k % 97 = 0),
-b AS (SELECT src, dst FROM p UNION SELECT dst, src FROM p), t AS (SELECT src, dst FROM b UNION SELECT t.src, b.dst FROM t JOIN b ON t.dst = b.src)
-SELECT src AS node, least(src, min(dst)) AS component FROM t GROUP BY src""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'error' AND json_extract(props, '$.k') IS NOT NULL AND user_id IS NOT NULL),
+p AS (SELECT DISTINCT x.k AS src, y.k AS dst FROM e x JOIN e y ON x.a = y.a),
+t AS (SELECT src, dst FROM p UNION SELECT t.src, p.dst FROM t JOIN p ON t.dst = p.src),
+m AS (SELECT k, min(a) AS a, count(*) AS n FROM e GROUP BY k), c AS (SELECT t.src AS k, min(m.a) AS component, sum(m.n) AS n FROM t JOIN m ON t.dst = m.k GROUP BY t.src)
+SELECT e.a AS node, min(c.component) AS component FROM e JOIN c ON e.k = c.k GROUP BY e.a HAVING max(c.n) > (SELECT count(*) FROM e f WHERE f.a = e.a)""")
 def g06_components(spark, sf_dir):
     errors = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("u"), F.get_json_object("props", "$.k").cast("long").alias("k")).distinct()
     first = errors.groupBy("k").agg(F.min("u").alias("dst"))
@@ -156,7 +158,7 @@ def _edges(spark):
     return R.import_edges(inline(spark, IMPORTS, "file, specifier"), inline(spark, SOURCES, "file, module"))
 
 
-@query("SELECT * FROM (VALUES ('a/index.ts', 'a', 'b/index.ts', 'b'), ('a/util.ts', 'a', 'b/deep/x.tsx', 'b/deep'), ('c/one.ts', 'c', 'a/util.ts', 'a')) AS v(file, src, target_file, dst)")
+@query("SELECT * FROM (VALUES ('a/index.ts', 'a', 'b/index.ts', 'b'), ('a/util.ts', 'a', 'b/deep/x.tsx', 'b/deep'), ('b/index.ts', 'b', 'b/deep/x.tsx', 'b/deep'), ('c/one.ts', 'c', 'a/util.ts', 'a')) AS v(file, src, target_file, dst)")
 def j01_import_edges(spark, sf_dir):
     return _edges(spark)
 
@@ -166,7 +168,7 @@ def p05_entry_points(spark, sf_dir):
     return R.entry_points(inline(spark, SOURCES, "file, module"))
 
 
-@query("SELECT 'HL108' AS rule, src, file, dst, target_file FROM (VALUES ('a', 'a/util.ts', 'b/deep', 'b/deep/x.tsx'), ('c', 'c/one.ts', 'a', 'a/util.ts')) AS v(src, file, dst, target_file)")
+@query("SELECT 'HL108' AS rule, src, file, dst, target_file FROM (VALUES ('a', 'a/util.ts', 'b/deep', 'b/deep/x.tsx'), ('b', 'b/index.ts', 'b/deep', 'b/deep/x.tsx'), ('c', 'c/one.ts', 'a', 'a/util.ts')) AS v(src, file, dst, target_file)")
 def hl108_bypassing_imports(spark, sf_dir):
     entries = R.entry_points(inline(spark, SOURCES, "file, module"))
     return R.bypassing_imports(_edges(spark), entries).select(F.lit("HL108").alias("rule"), "src", "file", "dst", "target_file")
