@@ -9,6 +9,9 @@ from pathlib import Path
 from .functions.paths import checked_roots
 
 
+# The limits that hold where settings name none.
+
+
 @dataclass(frozen=True)
 class Coupling:
     minimum_fan_out: int = 5

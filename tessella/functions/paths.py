@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Folders that hold no authored code.
-PRUNED = ("node_modules", ".git", "dist", "build", "coverage", "target", "vendor", ".next", "out")
+#: Folders that hold no authored code.
+PRUNED = (".git", ".next", "artifacts", "build", "coverage", "dist", "node_modules", "out", "runtime", "playwright-report", "target", "test-results")
 
 
 def relative(path: Column, root: str) -> Column:
@@ -73,3 +73,8 @@ def code_family(file: Column) -> Column:
         F.when(is_test(file), "test").when(file.rlike(r"(?i)(\.css|\.stylex\.[jt]sx?|/styles?/)"), "style").when(file.rlike(r"(?i)(^|/)(pages|routes|app|views|components)/"), "page")
         .when(file.rlike(r"(?i)(^|/)(scripts|tools|bin|build)/"), "tool").otherwise("source")
     )
+
+
+def css_files(files: DataFrame) -> DataFrame:
+    """The authored style sheets among files, in order."""
+    return files.where(F.col("file").endswith(".css") & is_authored(F.col("file"))).orderBy("file")

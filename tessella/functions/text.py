@@ -44,9 +44,9 @@ def nonblank_lines(text: Column) -> Column:
 
 
 def markup_only(page: Column) -> Column:
-    """A page with comments and the bodies of script, style, textarea and title blanked, every line break and position kept as a space."""
-    hidden = r"(?is)<!--.*?(?:-->|\z)|(?<=<(?:script|textarea|title|style)[^>]{0,200}>)(?:(?!</(?:script|textarea|title|style)).)*"
-    return F.regexp_replace(page, hidden, "")
+    """A page without its comments and the bodies of script, style, textarea and title, however long the tags before them are."""
+    hidden = r"(?is)<!--.*?(?:-->|\z)|(<(script|textarea|title|style)\b[^>]*>).*?(?=</\2|\z)"
+    return F.regexp_replace(page, hidden, "$1")
 
 
 def style_tags(page: Column) -> Column:

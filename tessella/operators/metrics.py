@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import checked_roots, under_roots
+
 #: Points that a finding's severity gives its module.
 WEIGHTS = {"error": 4, "smell": 2, "info": 1}
 
@@ -148,3 +150,11 @@ def attribute_runs(runs: DataFrame, project: DataFrame, engine: DataFrame) -> Da
     joined = runs.join(mark(project, "__p"), "revision", "left").join(mark(engine, "__e"), "revision", "left")
     p, e = F.col("__p").isNotNull(), F.col("__e").isNotNull()
     return joined.withColumn("attribution", F.when(p & e, "ambiguous").when(p, "project").when(e, "engine").otherwise("unresolved")).drop("__p", "__e")
+
+
+def color_files(files: DataFrame, roots: Sequence[str], maximum: int) -> DataFrame:
+    """file, colors, score and other columns of the files (file, colors) below `roots` that have a colour, if there are more than `maximum`; score is
+    their number."""
+    some = files.where(under_roots(F.col("file"), checked_roots(roots)) & (F.size("colors") > 0))
+    n = some.count()
+    return some.where(F.lit(n > maximum)).withColumn("score", F.lit(n).cast("long"))

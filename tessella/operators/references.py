@@ -76,21 +76,20 @@ def rust_surface(names: DataFrame, references: DataFrame) -> DataFrame:
     return names.distinct().join(used, ["module", "name"], "left").select("module", "name", F.coalesce("n", F.lit(0)).alias("external_references"))
 
 
-def module_tree(declared: DataFrame, files: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
+def module_tree(declared: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
     """scope, file of a crate's modules: `mod name;` in a file is name.rs before name/mod.rs beside it; inline modules stay in their file.
 
-    declared(file, name, inline); files(file); roots(file). One join per level of the tree."""
-    level = roots.select(F.lit("").alias("scope"), "file")
-    out = level
-    for _ in range(max_depth):
+    declared(file, name, inline); files(file); roots(file). One join per level of the tree; a scope that was met
+    before isn't opened again."""
+    level = out = staged(roots.select(F.lit("").alias("scope"), "file"), "modules")
+    while not level.isEmpty():
         inner = level.join(declared, "file")
         folder = F.when(F.col("file").rlike(r"(^|/)(lib|main|mod)\.rs$"), F.regexp_replace("file", r"[^/]*$", "")).otherwise(F.concat(F.regexp_replace("file", r"\.rs$", ""), F.lit("/")))
         named = inner.withColumn("child", F.when(F.col("scope") == "", F.col("name")).otherwise(F.concat_ws("/", "scope", "name"))).withColumn("folder", folder)
         inline = named.where("inline").select(F.col("child").alias("scope"), "file")
         tries = named.where("not inline").select("child", F.posexplode(F.array(F.concat("folder", "name", F.lit(".rs")), F.concat("folder", "name", F.lit("/mod.rs")))).alias("order", "path"))
         found = tries.join(files.select(F.col("file").alias("path")), "path").groupBy("child").agg(F.min_by("path", "order").alias("file")).select(F.col("child").alias("scope"), "file")
-        level = staged(found, "modules")
-        if level.isEmpty() and inline.isEmpty():
-            break
-        out = out.unionByName(inline).unionByName(level)
+        # Inline modules may hold declarations of their own file: these were read with the file.
+        level = staged(found.join(out, ["scope", "file"], "left_anti"), "modules")
+        out = staged(out.unionByName(inline).unionByName(level).distinct(), "module-tree")
     return out

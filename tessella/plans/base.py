@@ -15,6 +15,8 @@ def query(sql: str | None = None):
     """Register a function under its name, with SQL for DuckDB where SQL can express it."""
 
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

@@ -36,7 +36,7 @@ def s08_rust_facts(spark, sf_dir):
 
 
 @query("SELECT * FROM (VALUES ('crate::a', 'a', false), ('crate::a::x', 'y', false), ('crate::a::z', NULL, true)) AS v(path, name, wildcard)")
-def p11_use_leaves(spark, sf_dir):
+def t05_use_leaves(spark, sf_dir):
     """Leaves of a tree of uses."""
     found = S.scan_rust(inline(spark, RUST, "file, text")).select("file", F.explode("uses").alias("use"))
     return S.use_leaves(found).select("path", "name", "wildcard")

@@ -11,20 +11,21 @@ from ..session import table
 from .base import inline, query
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<style[ >]')) AS BIGINT) AS tags FROM pages")
+@query(r"""WITH m AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)(<(?:script|textarea|title|style)\b[^>]*>).*?(</(?:script|textarea|title|style))', '\1\2', 'g') AS html FROM pages)
+SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<style\b[^>]*>')) + len(regexp_extract_all(regexp_replace(html, '(?is)<style\b[^>]*>', '', 'g'), '(?is)<[a-z][a-z0-9-]*\s[^>]*?\bstyle\s*=')) AS BIGINT) AS tags FROM m""")
 def t02_style_tags(spark, sf_dir):
     """Style elements and style attributes per page."""
     return table(spark, sf_dir, "pages").select("page_id", F.size(X.style_tags(F.col("html"))).cast("long").alias("tags"))
 
 
 @query("SELECT doc_id, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS lines FROM documents")
-def t06_nonblank_lines(spark, sf_dir):
+def a19_nonblank_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.nonblank_lines(F.col("text")).alias("lines"))
 
 
 @query("""SELECT target, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT page_id) AS BIGINT) AS pages
 FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) GROUP BY 1""")
-def j01_page_links(spark, sf_dir):
+def t10_page_links(spark, sf_dir):
     """Link targets, how often and on how many pages."""
     found = table(spark, sf_dir, "pages").select("page_id", F.explode(X.links(F.col("html"))).alias("target"))
     return found.groupBy("target").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
@@ -40,12 +41,11 @@ def t03_css_colors(spark, sf_dir):
     return rows.select("file", F.array_join(X.css_colors(F.col("text")), ",").alias("colors"))
 
 
-@query("SELECT 'HL118' AS rule, color, CAST(n AS BIGINT) AS files FROM (VALUES ('red', 2)) AS v(color, n)")
+@query("SELECT 'HL118' AS rule, file, CAST(3 AS BIGINT) AS score, colors FROM (VALUES ('a.css', '#fff,red'), ('c.css', 'rgb(1, 2, 3)'), ('d.css', 'red')) AS v(file, colors)")
 def hl118_color_files(spark, sf_dir):
-    """Colours in more files than a limit of one."""
-    rows = inline(spark, SHEETS, "file, text").select("file", F.explode(X.css_colors(F.col("text"))).alias("color"))
-    per = rows.groupBy("color").agg(F.count_distinct("file").alias("files"))
-    return M.limit_exceeded(per, "files", 1).select(F.lit("HL118").alias("rule"), "color", "files")
+    """Every file with a colour, where there are more such files than a limit of one."""
+    rows = inline(spark, SHEETS, "file, text").select("file", X.css_colors(F.col("text")).alias("colors"))
+    return M.color_files(rows, ["."], 1).select(F.lit("HL118").alias("rule"), "file", "score", F.array_join("colors", ",").alias("colors"))
 
 
 LINES = r"""('a', ''), ('b', 'one'), ('c', 'one\ntwo\n'), ('d', 'one\r\ntwo\r\n\r\nfour')"""
@@ -56,17 +56,17 @@ def s18_instruction_lines(spark, sf_dir):
     return inline(spark, LINES, "file, text").select("file", X.line_count(F.col("text")).alias("lines"))
 
 
-@query("SELECT 'HL113' AS rule, 'd' AS file, CAST(4 AS BIGINT) AS lines")
-def hl113_instruction_limit(spark, sf_dir):
+@query("SELECT 'HL112' AS rule, 'd' AS file, CAST(4 AS BIGINT) AS lines")
+def hl112_instruction_limit(spark, sf_dir):
     rows = inline(spark, LINES, "file, text").select("file", X.line_count(F.col("text")).alias("lines"))
-    return M.limit_exceeded(rows, "lines", 3).select(F.lit("HL113").alias("rule"), "file", "lines")
+    return M.limit_exceeded(rows, "lines", 3).select(F.lit("HL112").alias("rule"), "file", "lines")
 
 
 CODE = r"""('a.ts', 'const a = 1; // one\n\n/* two\n three */\nconst s = "// no";\n'), ('b.ts', '// only\n'), ('c.ts', NULL)"""
 
 
 @query("SELECT * FROM (VALUES ('a.ts', 2::BIGINT), ('b.ts', 0), ('c.ts', 0)) AS v(file, lines)")
-def t07_meaningful_lines(spark, sf_dir):
+def t04_meaningful_lines(spark, sf_dir):
     return inline(spark, CODE, "file, text").select("file", X.meaningful_lines(F.col("text")).alias("lines"))
 
 

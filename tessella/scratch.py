@@ -16,6 +16,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("tessella.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("tessella.scratch.dir", root)
     return root.rstrip("/")

@@ -57,8 +57,8 @@ def scan_rust(texts: DataFrame) -> DataFrame:
     )
 
 
-def use_leaves(uses: DataFrame, max_depth: int = 12) -> DataFrame:
-    """file, path, name, wildcard: the leaves of use trees (file, use), a level of braces at a time.
+def use_leaves(uses: DataFrame) -> DataFrame:
+    """file, path, name, wildcard: the leaves of use trees (file, use), a pair of braces at a time, as many as the tree has.
 
     `self` names its parent, `as` renames, `as _` brings no name, `*` is a wildcard."""
     # The innermost braces are opened first: each of their members takes their prefix and what follows.
@@ -70,7 +70,7 @@ def use_leaves(uses: DataFrame, max_depth: int = 12) -> DataFrame:
         members = F.transform(F.filter(F.split(body, ","), lambda x: x != ""), lambda m: F.concat(cut, m))
         return F.when(t.contains("{"), F.concat(F.substring(head, F.lit(1), F.length(head) - F.length(cut)), F.array_join(members, ","), tail)).otherwise(t)
 
-    flat = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.regexp_replace(F.trim("use"), r"\s*(::|,|\{|\})\s*", "$1"), opened)
+    flat = F.aggregate(F.sequence(F.lit(0), F.length("use") - F.length(F.replace("use", F.lit("{")))), F.regexp_replace(F.trim("use"), r"\s*(::|,|\{|\})\s*", "$1"), opened)
     leaves = uses.select("file", F.explode(F.split(flat, ",")).alias("t")).where("t <> ''")
     plain, alias = F.regexp_replace("t", r" as \w+$", ""), F.regexp_extract("t", r" as (\w+)$", 1)
     wildcard = plain.endswith("*")

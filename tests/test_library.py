@@ -7,7 +7,7 @@ from tessella import catalog, config
 from tessella.operators.components import connected_components
 from tessella.sources import git
 
-FIXED = "t03_css_colors hl118_color_files s18_instruction_lines hl113_instruction_limit t07_meaningful_lines p01_file_kinds s06_manifest_strings s05_crates s08_rust_facts p11_use_leaves s01_script_facts g07_separate_groups j10_path_resolution j11_path_hops hl104_exact_clones".split()
+FIXED = "t03_css_colors hl118_color_files s18_instruction_lines hl112_instruction_limit t04_meaningful_lines p01_file_kinds s06_manifest_strings s05_crates s08_rust_facts t05_use_leaves s01_script_facts g07_separate_groups j10_path_resolution j11_path_hops hl104_exact_clones".split()
 
 
 @pytest.mark.parametrize("name", FIXED)
