@@ -167,18 +167,40 @@ def histogram(values: DataFrame, value: str, low: float, high: float, bins: int)
 
 
 def pair_sample(rows: DataFrame, key: str, module: str, per_module: int, across: int) -> DataFrame:
-    """kind, a, b: pairs within modules, at most `per_module` of each, and `across` pairs of different modules, in the order of a hash.
-
-    Every row proposes partners at fixed offsets of the hash order, so no cross join is made."""
-    order = rows.select(key, module, F.xxhash64(key).alias("h"))
-    inner = Window.partitionBy(module).orderBy("h", key)
-    steps = [F.struct(F.lead(key, d).over(inner).alias("b")).alias(f"s{d}") for d in (1, 2, 3)]
-    within = order.select(F.lit("within").alias("kind"), F.col(module).alias("m"), F.col(key).alias("a"), F.array(*steps).alias("s")).select("kind", "m", "a", F.explode("s.b").alias("b")).where("b is not null")
-    capped = within.withColumn("rn", F.row_number().over(Window.partitionBy("m").orderBy(F.xxhash64("a", "b"), "a", "b"))).where(F.col("rn") <= per_module)
-    other = order.select(F.col(key).alias("b"), F.col(module).alias("mb"), F.pmod("h", F.lit(1024)).alias("slot"))
-    mine = order.select(F.col(key).alias("a"), F.col(module).alias("ma"), F.pmod(F.xxhash64("h"), F.lit(1024)).alias("slot"))
-    met = mine.join(other, "slot").where("ma <> mb").select(F.lit("across").alias("kind"), "a", "b")
-    return capped.select("kind", "a", "b").unionByName(met.orderBy(F.xxhash64("a", "b"), "a", "b").limit(across))
+    """kind, a, b: `per_module` pairs within each module, all if it has no more, and as well `across` pairs of different modules in all.
+
+    Members are numbered by hash within their module, modules one after the other, so that all possible pairs have numbers. Evenly spaced
+    numbers are taken and only those pairs are made: there are never more rows than members or sampled pairs. Modules must fit a table of
+    their sizes in one task; their members needn't."""
+    member = F.row_number().over(Window.partitionBy("m").orderBy(F.xxhash64("k"), "k")) - 1
+    order = staged(rows.select(F.col(module).alias("m"), F.col(key).alias("k")).withColumn("i", member.cast("long")), "sample-order")
+    sizes = order.groupBy("m").agg(F.count("*").alias("n"))
+    running = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
+    sizes = sizes.withColumn("total", F.sum("n").over(Window.partitionBy()))
+    # Pairs of a member with members of later modules.
+    sizes = sizes.withColumn("out", F.col("n") * (F.col("total") - F.col("before") - F.col("n")))
+    sizes = staged(sizes.withColumn("start", F.coalesce(F.sum("out").over(running), F.lit(0))), "sample-sizes")
+    last = sizes.agg(F.sum("out").alias("pairs")).first()["pairs"] or 0
+    within_pairs = F.expr("n * (n - 1) div 2")
+    taken = F.least(within_pairs, F.lit(per_module))
+    within = sizes.where("n > 1").select("m", "before", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), taken - 1), lambda j: F.floor(j * within_pairs / taken))).alias("p"))
+    # Pair p of members i < j: p = j (j - 1) / 2 + i.
+    j = F.floor((1 + F.sqrt(1 + 8 * F.col("p").cast("double"))) / 2)
+    fixed = F.when(j * (j - 1) / 2 > F.col("p"), j - 1).when(j * (j + 1) / 2 <= F.col("p"), j + 1).otherwise(j).cast("long")
+    near = within.withColumn("j", fixed).select(F.lit("within").alias("kind"), (F.col("p") - F.expr("j * (j - 1) div 2") + F.col("before")).alias("x"), (F.col("j") + F.col("before")).alias("y"))
+    count = min(across, last)
+    # Number k of the sample is pair k * last / count: those that begin in a module.
+    first = F.ceil(F.col("start") * F.lit(count) / F.lit(max(last, 1)))
+    stop = F.ceil((F.col("start") + F.col("out")) * F.lit(count) / F.lit(max(last, 1)))
+    numbers = F.transform(F.sequence(first, stop - 1), lambda k: F.floor(k * F.lit(last) / F.lit(max(count, 1))))
+    far = sizes.where((F.col("out") > 0) & (stop > first)).select("n", "before", "total", "start", F.explode(numbers).alias("p"))
+    later = F.col("total") - F.col("before") - F.col("n")
+    place = F.col("p") - F.col("start")
+    far = far.select(F.lit("across").alias("kind"), (F.col("before") + F.floor(place / later)).alias("x"), (F.col("before") + F.col("n") + place % later).alias("y"))
+    numbered = order.join(sizes.select("m", "before"), "m").select((F.col("before") + F.col("i")).alias("at"), "k")
+    end = lambda c, name: numbered.select(F.col("at").alias(c), F.col("k").alias(name))
+    return near.unionByName(far).join(end("x", "a"), "x").join(end("y", "b"), "y").select("kind", "a", "b")
 
 
 def second_moments(rows: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:

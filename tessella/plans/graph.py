@@ -81,6 +81,39 @@ def j12_unreached(spark, sf_dir):
     return G.dead(nations, nations.where("node = 0"), _trade(spark, sf_dir, 2))
 
 
+#: All customers in a ring, each to the one before: as deep as there are customers.
+def _ring(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"))
+    ends = keys.agg(F.min("src").alias("low"), F.max("src").alias("high")).first()
+    return keys.withColumn("dst", F.when(F.col("src") == ends["low"], F.lit(ends["high"])).otherwise(F.col("src") - 1).cast("long")).withColumn("src", F.col("src").cast("long"))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS node, CAST((SELECT min(c_custkey) FROM customer) AS BIGINT) AS component FROM customer")
+def g01_long_ring(spark, sf_dir):
+    return G.strong_components(_ring(spark, sf_dir))
+
+
+@query("SELECT CAST(min(c_custkey) AS BIGINT) AS component, CAST(count(*) + 1 AS BIGINT) AS length, CAST(max(c_custkey) AS BIGINT) AS second FROM customer")
+def g02_long_ring(spark, sf_dir):
+    edges = _ring(spark, sf_dir)
+    return G.cycle_witnesses(edges, G.strong_components(edges)).select("component", F.size("witness").cast("long").alias("length"), F.get("witness", F.lit(1)).alias("second"))
+
+
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS node, CAST(row_number() OVER w - 1 AS BIGINT) AS depth, CAST(coalesce(lag(o_orderkey) OVER w, -1) AS BIGINT) AS next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+def g03_order_chains(spark, sf_dir):
+    """Every order calls the customer's order before it."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("src"), before.cast("long").alias("dst"))
+    return G.generations(orders.select(F.col("src").alias("node")), orders.where("dst is not null")).select("node", "depth", F.coalesce("next", F.lit(-1)).alias("next"))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS node FROM customer WHERE c_custkey <= (SELECT max(c_custkey) FROM customer WHERE c_nationkey = 3)")
+def g05_long_chain(spark, sf_dir):
+    """What the customers of one nation reach in the ring, cut before its last edge."""
+    ring = _ring(spark, sf_dir).where("dst < src")
+    return G.reachable(table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").cast("long").alias("node")), ring)
+
+
 SYMBOLS = "('main', 'used'), ('used', 'helper'), ('deadChain', 'deadLeaf'), ('recursiveA', 'recursiveB'), ('recursiveB', 'recursiveA'), ('exported', 'inner')"
 CANDIDATES = "('used'), ('helper'), ('deadChain'), ('deadLeaf'), ('recursiveA'), ('recursiveB'), ('unusedArrow'), ('exported'), ('inner')"
 
