@@ -61,6 +61,37 @@ def confirmed_pairs(pairs: DataFrame, docs: DataFrame, anchors: DataFrame, key:
     return joined.where(F.col("similarity") >= minimum)
 
 
+def near_groups(docs: DataFrame, anchors: DataFrame, key: str, text: str, minimum: int, ratio: float) -> DataFrame:
+    """key, component (smallest key), similarity (the smallest of the component's links): documents in components of `confirmed_pairs`, without making
+    all pairs.
+
+    Documents with equal anchors are one class: they are linked if they have more than one text, or by way of another class. Classes link by
+    prefixes: sets of n anchors that share `ratio` of their union share one of their n - ceil(ratio n) + 1 rarest."""
+    facts = docs.select(F.col(key).alias("k"), content_hash(F.col(text)).alias("h"))
+    sets = anchors.groupBy(F.col(key).alias("k")).agg(F.sort_array(F.collect_set("anchor")).alias("anchors")).where(F.size("anchors") >= minimum)
+    members = staged(sets.select("k", content_hash(F.array_join("anchors", "")).alias("class"), "anchors").join(facts, "k"), "near-members")
+    classes = staged(members.groupBy("class").agg(F.first("anchors").alias("anchors"), F.size(F.first("anchors")).alias("n"), (F.min("h") != F.max("h")).alias("mixed")), "near-classes")
+    tokens = classes.select("class", "n", F.explode("anchors").alias("anchor"))
+    rare = tokens.groupBy("anchor").agg(F.count("*").alias("df")).where("df > 1")
+    place = F.row_number().over(Window.partitionBy("class").orderBy("df", "anchor"))
+    # Anchors of one class come first in its order and meet nothing.
+    alone = tokens.join(rare, "anchor", "left_anti").groupBy("class").agg(F.count("*").alias("alone"))
+    ranked = tokens.join(rare, "anchor").withColumn("place", place).join(alone, "class", "left")
+    prefix = staged(ranked.where(F.col("place") + F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.lit(ratio) * F.col("n") - 1e-9) + 1).select("class", "n", "anchor"), "near-prefixes")
+    a, b = (prefix.select("anchor", F.col("class").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    met = a.join(b, "anchor").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(ratio) * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    of = lambda x: classes.select(F.col("class").alias(x), F.col("anchors").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    told = met.join(of("a"), "a").join(of("b"), "b").select("a", "b", shared.alias("shared"), (shared / (F.col("na") + F.col("nb") - shared)).alias("similarity"))
+    links = staged(told.where((F.col("shared") >= minimum) & (F.col("similarity") >= ratio - 1e-9)), "near-links")
+    found = staged(connected_components(links, "a", "b"), "near-components")
+    alike = classes.where("mixed").select(F.col("class").alias("node")).join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+    placed = members.select("k", F.col("class").alias("node")).join(found.unionByName(alike), "node")
+    low = links.join(found.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.min("similarity").alias("similarity"))
+    named = placed.groupBy("component").agg(F.min("k").alias("first")).join(low, "component", "left")
+    return placed.join(named, "component").select(F.col("k").alias(key), F.col("first").alias("component"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+
+
 def clusters(pairs: DataFrame, minimum_members: int, similarity: str | None = None) -> DataFrame:
     """component, members, and the smallest similarity of its pairs, for components of enough members."""
     found = staged(connected_components(pairs, "a", "b"), "clusters")
