@@ -50,9 +50,9 @@ def json_report(run: DataFrame, findings: DataFrame, metrics: DataFrame, key: st
 
     A report holds all of a run's findings, so it is for runs that a person reads."""
     gathered = lambda rows, name: rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in rows.columns if c != key]))).alias(name))
-    joined = run.join(gathered(findings, "diagnostics"), key, "left").join(gathered(metrics, "metrics"), key, "left")
+    joined = run.select(key, F.struct(*run.columns).alias("run")).join(gathered(findings, "diagnostics"), key, "left").join(gathered(metrics, "metrics"), key, "left")
     empty = lambda c: F.coalesce(F.col(c), F.array().cast(joined.schema[c].dataType))
-    return joined.select(key, F.to_json(F.struct(F.struct(*run.columns).alias("run"), empty("diagnostics").alias("diagnostics"), empty("metrics").alias("metrics"))).alias("report"))
+    return joined.select(key, F.to_json(F.struct("run", empty("diagnostics").alias("diagnostics"), empty("metrics").alias("metrics"))).alias("report"))
 
 
 def file_metrics(names: DataFrame, across: bool = True) -> tuple[DataFrame, DataFrame]:

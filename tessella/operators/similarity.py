@@ -145,33 +145,45 @@ def _linkage(vectors: np.ndarray, cut: float) -> tuple[list[tuple[int, int, floa
 
 
 def linkage_of(distance: np.ndarray, cut: float) -> tuple[list[tuple[int, int, float, int]], list[int]]:
-    if np.isnan(distance).any():
-        raise ValueError("distances must be numbers")
-    n = len(distance)
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    ids, sizes, members, merges = list(range(n)), [1] * n, {i: [i] for i in range(n)}, []
-    open_, frozen = True, None
+    """The same for a matrix of distances. Each cluster remembers its nearest one of a higher id, so a merge looks at one row and at those whose
+    nearest has gone."""
+    d = np.array(distance, float)
+    n = len(d)
+    if not (np.isfinite(d).all() and (d >= 0).all() and np.isfinite(cut) and cut >= 0):
+        raise ValueError("distances and the cut must be finite and not negative")
+    ids, sizes, active = np.arange(n), np.ones(n), np.ones(n, bool)
+    near, gap = np.full(n, -1), np.full(n, np.inf)
+    label, merges = np.arange(n), []
+
+    def look(s: int) -> None:
+        others = np.flatnonzero(active & (ids > ids[s]))
+        near[s], gap[s] = -1, np.inf
+        if len(others):
+            least = d[s, others].min()
+            tied = others[d[s, others] == least]
+            near[s], gap[s] = tied[ids[tied].argmin()], least
+
+    for s in range(n):
+        look(s)
     for k in range(n - 1):
-        flat = int(np.argmin(np.triu(np.where(np.isfinite(d), d, np.inf), 1) + np.tril(np.full(d.shape, np.inf))))
-        i, j = divmod(flat, len(d))
-        gap = d[i, j]
-        if open_ and gap > cut:
-            open_, frozen = False, [list(members[x]) for x in ids]
-        merges.append((ids[i], ids[j], float(gap), sizes[i] + sizes[j]))
+        tied = np.flatnonzero(gap == gap.min())
+        i = int(tied[ids[tied].argmin()])
+        j, found = int(near[i]), float(gap[i])
+        merges.append((int(ids[i]), int(ids[j]), found, int(sizes[i] + sizes[j])))
+        if found <= cut:
+            a, b = label[i], label[j]
+            label[label == max(a, b)] = min(a, b)
         row = (d[i] * sizes[i] + d[j] * sizes[j]) / (sizes[i] + sizes[j])
-        keep = [x for x in range(len(d)) if x not in (i, j)]
-        new = np.full((len(keep) + 1, len(keep) + 1), np.inf)
-        new[:-1, :-1] = d[np.ix_(keep, keep)]
-        new[-1, :-1] = new[:-1, -1] = row[keep]
-        members[n + k] = members[ids[i]] + members[ids[j]]
-        ids, sizes, d = [ids[x] for x in keep] + [n + k], [sizes[x] for x in keep] + [sizes[i] + sizes[j]], new
-    groups = frozen if frozen is not None else [list(members[x]) for x in ids]
-    label = [0] * n
-    for g in groups:
-        for leaf in g:
-            label[leaf] = min(g)
-    return merges, label
+        d[i], d[:, i] = row, row
+        sizes[i] += sizes[j]
+        ids[i], active[j] = n + k, False
+        near[i], near[j], gap[i], gap[j] = -1, -1, np.inf, np.inf
+        for s in np.flatnonzero(active):
+            if s != i and near[s] in (i, j):
+                look(s)
+            elif s != i and row[s] < gap[s]:
+                near[s], gap[s] = i, row[s]
+    return merges, label.tolist()
 
 
 def average_linkage(rows: DataFrame, module: str, key: str, vector: str, cut: float, most: int = 5000) -> DataFrame:

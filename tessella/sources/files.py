@@ -14,10 +14,10 @@ from ..functions.text import toml_string
 def source_texts(spark: SparkSession, root: str, endings: Sequence[str], pruned: Sequence[str] = PRUNED) -> DataFrame:
     """file, text of the authored files below a folder, one row each; Spark lists and reads them."""
     where = root if "://" in root else f"file://{root}"
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in endings) + "}").option("wholetext", "true").text(where)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in endings) + "}").load(where)
     plain = root.split("://", 1)[-1] if "://" in root else root
-    file = relative(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:(//)?", ""), plain)
-    return raw.select(file.alias("file"), F.col("value").alias("text")).where(is_authored(F.col("file"), pruned)).distinct()
+    file = relative(F.regexp_replace("path", "^[a-z]+:(//)?", ""), plain)
+    return raw.select(file.alias("file"), F.col("content").cast("string").alias("text")).where(is_authored(F.col("file"), pruned)).distinct()
 
 
 def crates(manifests: DataFrame, files: DataFrame) -> DataFrame:
