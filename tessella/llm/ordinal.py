@@ -20,6 +20,8 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 SHAPES = (("symbols", r"[#*$%&|<>!]"), ("upper", r"\p{Lu}"), ("digits", r"[0-9]"))
 BINS = 8
+#: Step of the thresholds.
+STEP = 0.02
 #: First letters of words that are features too: words of one stem share what is learnt.
 STEMS = (4, 6)
 
@@ -60,6 +62,20 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - score[:, None], -50, 50)))
 
 
+def slopes(f: float, y: int, theta: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Of grade `y` at score `f`: its probability, and the slopes of minus its logarithm along the score and along each threshold."""
+    s = 1 / (1 + np.exp(np.clip(theta - f, -30, 30)))
+    upper, lower = np.r_[1.0, s][y], np.r_[s, 0.0][y]
+    p = max(upper - lower, 1e-9)
+    du, dl = upper * (1 - upper), lower * (1 - lower)
+    along = np.zeros(len(theta))
+    if y > 0:
+        along[y - 1] = du / p
+    if y < len(theta):
+        along[y] = -dl / p
+    return p, -(du - dl) / p, along
+
+
 def _fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int) -> Ordinal:
     """Proximal online gradient descent with an L1 term, so that words that tell nothing have no weight; thresholds keep their order."""
     z, n = np.zeros(WIDTH), np.zeros(WIDTH)
@@ -71,18 +87,10 @@ def _fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int) -
             x = rows[i]
             zi, ni = z[x], n[x]
             w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-            f, y = w.sum(), grades[i]
-            s = 1 / (1 + np.exp(np.clip(theta - f, -30, 30)))
-            upper, lower = np.r_[1.0, s][y], np.r_[s, 0.0][y]
-            p = max(upper - lower, 1e-9)
-            du, dl = upper * (1 - upper), lower * (1 - lower)
-            g = -(du - dl) / p
+            _, g, along = slopes(w.sum(), grades[i], theta)
             z[x] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
             n[x] += g * g
-            if y > 0:
-                theta[y - 1] -= 0.02 * du / p
-            if y < levels - 1:
-                theta[y] += 0.02 * dl / p
+            theta = theta - STEP * along
             theta = np.maximum.accumulate(theta + np.arange(levels - 1) * 1e-6)
     w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     at = np.flatnonzero(w)
@@ -98,7 +106,8 @@ def fit(docs: DataFrame, ratings: DataFrame, levels: int, id_col: str = "doc_id"
     total = ratings.count()
     if total > most:
         ratings = ratings.where(F.pmod(F.xxhash64("rated"), F.lit(1_000_000)) < int(950_000 * most / total))
-    rows = docs.join(ratings, F.col(id_col) == F.col("rated")).select("rated", "grade", features(F.col(text_col)).alias("x"))
+    plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    rows = plain.join(ratings, F.col("__id") == F.col("rated")).select("rated", "grade", features(F.col("__text")).alias("x"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rated", "ascending"), ("grade", "ascending")])
@@ -116,7 +125,9 @@ def predict(docs: DataFrame, model: Ordinal, text_col: str = "text", keep: tuple
     """Per row of `docs`: the columns of `keep`, expected_grade, tail (probability of the highest grade).
 
     Cases: null and empty texts are rated by the constant alone; without ratings every threshold is 0; repeated rows are rated alike;
-    other columns are ignored."""
+    other columns are ignored; a column of `keep` named as a result is an error; an empty table gives an empty result."""
+    if {"expected_grade", "tail"} & set(keep):
+        raise ValueError("columns to keep have the names of results")
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
