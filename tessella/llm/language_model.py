@@ -20,7 +20,7 @@ END = np.uint64(0x5BD1E9955BD1E995)
 #: Numbers of tokens beside those of the vocabulary, which begin at 1: what stands before a text, and a token not met in training.
 START, UNKNOWN = np.uint64(0), np.uint64(1 << 63)
 #: Tokens that a task counts, or looks up, at once.
-COUNTED_TOKENS, SCORED_TOKENS = 1_500_000, 250_000
+COUNTED_TOKENS, SCORED_TOKENS = 1_500_000, 400_000
 #: Bytes of text for each shard of the model: about a million n-grams.
 SHARD_BYTES = 6_000_000
 #: A context after which more than this share of all tokens stands has its n-grams dealt one by one; there are at most twice as many such as 1 / HOT.
