@@ -173,7 +173,7 @@ def distinct_segments(docs: DataFrame, model: Model, text_col: str = "text", has
         keys, words, size = [], [], 0
 
         def distinct() -> pa.RecordBatch:
-            every = pa.table({"key": np.concatenate(keys), "word": pa.chunked_array(words)}).group_by(["key", "word"]).aggregate([]).combine_chunks()
+            every = pa.table({"key": np.concatenate(keys), "word": pa.chunked_array(words)}).group_by(["key", "word"], use_threads=False).aggregate([]).combine_chunks()
             return pa.RecordBatch.from_arrays([every["key"].combine_chunks(), every["word"].combine_chunks().cast(pa.string())], names=["key", "word"])
 
         for batch in batches:
