@@ -19,7 +19,7 @@ WIDTH = 5
 NUM, DEN = 3, 4
 #: Documents that a task turns into arrays at once, and tokens that it sums before it hands them on.
 BATCH_DOCS = 512
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 1_500_000
 #: First bits of a token that document frequencies are kept by. Tokens that share them only make a frequency too high, which costs pruning, not results.
 KEY_BITS = 48
 _LOW = np.uint64((1 << (64 - KEY_BITS)) - 1)
