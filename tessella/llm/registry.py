@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .filter_audit import audit_filters
 from .html_text import extract_main_text
 from .jaccard import jaccard_components
 from .language_model import score, train
@@ -102,9 +103,39 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return audit_filters(docs, table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+m AS (
+  SELECT part, doc_id,
+         [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+          regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS f FROM d),
+r AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT part, f, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN r USING (doc_id) GROUP BY part, f),
+o AS (SELECT CAST('' AS VARCHAR) AS filter_order UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, instr('ABCDE', filter_order[step]) AS own, list_transform(range(1, step), lambda j: instr('ABCDE', filter_order[j])) AS before
+      FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5),
+c AS (SELECT part, filter_order, step, own, n, good, toxic, f[own] AS fails, NOT list_bool_or(list_transform(before, lambda j: f[j])) IS TRUE AS open,
+             len(list_filter(f, lambda x: x)) = 1 AS single FROM g, s),
+t AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE open AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (WHERE open AND fails), 0) AS removed,
+             coalesce(sum(n) FILTER (WHERE NOT open AND fails), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails AND single), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (WHERE open AND fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE open AND fails), 0) AS toxic_lost
+      FROM c GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM t
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_score, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard, op6_source_mixing, op7_quality_classifier, op8_nearest_neighbours, op9_secret_scan, op10_html_text)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_score, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard, op6_source_mixing, op7_quality_classifier, op8_nearest_neighbours, op9_secret_scan, op10_html_text, op11_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op11_filter_audit": OP11_SQL}
