@@ -13,6 +13,7 @@ from .html_text import extract_main_text
 from .jaccard import jaccard_components
 from .language_model import score, train
 from .line_dedup import dedup_lines
+from .manifest import merkle_manifest, proof_text
 from .mixing import mix_counts
 from .neighbours import nearest
 from .ordinal import fit, predict
@@ -133,9 +134,48 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 """
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle_manifest(docs, tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: Levels one by one: nodes of a source, then of the sources' tree; each row's node climbs with the siblings that it meets.
+OP13_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc
+  FROM documents),
+l AS (
+  SELECT doc_id, source, sha256(head || body) AS leaf, sha256(head || CASE WHEN crc % 2 = 0 THEN coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-') ELSE body END) AS found
+  FROM (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+                  || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS body FROM t)),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, found) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+climb AS (
+  SELECT doc_id, source, leaf, pos, n, leaf AS node, found AS folded, '' AS proof FROM p
+  UNION ALL
+  SELECT doc_id, source, leaf, pos // 3, (n + 2) // 3, sha256(array_to_string(run, '')), sha256(array_to_string(run[1:spot], '') || folded || array_to_string(run[spot + 2:], '')),
+         proof || array_to_string(run[1:spot], '') || array_to_string(run[spot + 2:], '')
+  FROM (SELECT c.*, g.run, CAST(c.pos % 3 AS BIGINT) AS spot
+        FROM climb c JOIN (SELECT source, pos // 3 AS up, list(node ORDER BY pos) AS run FROM (SELECT DISTINCT source, pos, node FROM climb WHERE n > 1) GROUP BY source, pos // 3) g
+          ON c.source IS NOT DISTINCT FROM g.source AND c.pos // 3 = g.up WHERE c.n > 1)),
+s AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS rank FROM climb WHERE n = 1),
+top AS (
+  SELECT doc_id, leaf, node AS subroot, rank AS pos, (SELECT count(*) FROM (SELECT DISTINCT source FROM documents)) AS n, node, folded, proof FROM s
+  UNION ALL
+  SELECT doc_id, leaf, subroot, pos // 3, (n + 2) // 3, sha256(array_to_string(run, '')), sha256(array_to_string(run[1:spot], '') || folded || array_to_string(run[spot + 2:], '')),
+         proof || array_to_string(run[1:spot], '') || array_to_string(run[spot + 2:], '')
+  FROM (SELECT c.*, g.run, CAST(c.pos % 3 AS BIGINT) AS spot
+        FROM top c JOIN (SELECT pos // 3 AS up, list(node ORDER BY pos) AS run FROM (SELECT DISTINCT pos, node FROM top WHERE n > 1) GROUP BY pos // 3) g ON c.pos // 3 = g.up WHERE c.n > 1))
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS verified FROM top WHERE n = 1
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_score, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard, op6_source_mixing, op7_quality_classifier, op8_nearest_neighbours, op9_secret_scan, op10_html_text, op11_filter_audit)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_score, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard, op6_source_mixing, op7_quality_classifier, op8_nearest_neighbours, op9_secret_scan, op10_html_text, op11_filter_audit, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op11_filter_audit": OP11_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op11_filter_audit": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
