@@ -20,6 +20,7 @@ from .ordinal import fit, predict
 from .pieces import encode, load_model
 from .quality import quality_rules
 from .secrets import digest, scan_secrets
+from .simhash import hex_digits, near_copies
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -134,6 +135,11 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 """
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -174,7 +180,7 @@ SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folde
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_score, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard, op6_source_mixing, op7_quality_classifier, op8_nearest_neighbours, op9_secret_scan, op10_html_text, op11_filter_audit, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_score, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard, op6_source_mixing, op7_quality_classifier, op8_nearest_neighbours, op9_secret_scan, op10_html_text, op11_filter_audit, op12_simhash_dedup, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
