@@ -9,8 +9,8 @@ from ..functions.paths import is_entry_point
 from ..scratch import staged
 
 
-def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Resolved imports into other modules: file, src, target_file, dst.
+def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """file, specifier, target_file, dst: the file that a relative specifier means, and its module.
 
     imports(file, specifier): relative specifiers are joined to the importing folder and tried as they are, with the usual endings, and as a
     folder's index; files(file, module)."""
@@ -25,9 +25,13 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     tries = joined.select("file", "specifier", stem.alias("stem")).withColumn("__try", F.array(*[F.concat(F.col("stem"), F.lit(e)) for e in ("", ".ts", ".tsx", ".mts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")]))
     tries = tries.select("file", "specifier", F.posexplode("__try").alias("order", "target_file"))
     found = tries.join(files.select(F.col("file").alias("target_file"), F.col("module").alias("dst")), "target_file")
-    first = found.groupBy("file", "specifier").agg(F.min_by(F.struct("target_file", "dst"), "order").alias("t"))
+    return found.groupBy("file", "specifier").agg(F.min_by(F.struct("target_file", "dst"), "order").alias("t")).select("file", "specifier", "t.target_file", "t.dst")
+
+
+def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Resolved imports into other modules: file, src, target_file, dst (`resolved_imports`)."""
     own = files.select("file", F.col("module").alias("src"))
-    return first.join(own, "file").select("file", "src", F.col("t.target_file").alias("target_file"), F.col("t.dst").alias("dst")).where("src <> dst").distinct()
+    return resolved_imports(imports, files).join(own, "file").select("file", "src", "target_file", "dst").where("src <> dst").distinct()
 
 
 def entry_points(files: DataFrame) -> DataFrame:
