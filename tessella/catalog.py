@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graph, metrics, reports, similarity, sources, text  # noqa: F401
+from .plans import calls, graph, metrics, reports, similarity, sources, text  # noqa: F401
 from .plans.base import ORACLES, QUERIES, Query
 
 

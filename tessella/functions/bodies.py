@@ -15,11 +15,13 @@ MODIFIERS = frozenset("export default const let var public private protected sta
 
 
 class Function(NamedTuple):
-    """A function with a body: where its declaration and its body begin and end (places of tokens), and the name of what it belongs to."""
+    """A function with a body: where its declaration, itself and its body begin and where it ends (places of tokens), and the name of what it
+    belongs to. A name given by a declaration around it, as in `const f = () => 1`, isn't a part of it."""
 
     name: str
     container: str
     head: int
+    own: int
     params: int
     body: int
     stop: int
@@ -156,7 +158,8 @@ def functions(t: Tokens) -> list[Function]:
             typed = name and not t.is_(t.before(head), "=", "async", ">") and (t.parent[i] >= 0 and t.text[t.parent[i]] == "(" or t.is_(first, *MODIFIERS))
             if typed or t.is_(first, "type", "interface"):
                 continue
-            head = first if name else head
+            own = head - t.is_(t.before(head), "async")
+            head = first if name else own
         elif named := _named(t, i):
             head, params, body, name = named
             stop, first = t.pair[body], _clause(t, i)
@@ -164,10 +167,11 @@ def functions(t: Tokens) -> list[Function]:
             name = name or given
             if all(t.kind[k] == "word" and t.text[k] in MODIFIERS for k in range(first, head)):
                 head = first
+            own = head
         else:
             continue
         inside = t.parent[head]
-        found.append(Function(name, holders.get(inside, ""), head, params, body, min(stop, len(t) - 1), exported and inside < 0))
+        found.append(Function(name, holders.get(inside, ""), head, own, params, body, min(stop, len(t) - 1), exported and inside < 0))
     return sorted(found, key=lambda f: (f.head, -f.stop))
 
 

@@ -47,6 +47,16 @@ def bypassing_imports(edges: DataFrame, entries: DataFrame) -> DataFrame:
     return joined.where(~F.col("target_file").eqNullSafe(F.col("entry_point"))).select("src", "file", "dst", "target_file")
 
 
+def entry_point_findings(entries: DataFrame, edges: DataFrame, name: str = "index") -> DataFrame:
+    """module, file, message: every module whose number of entry points isn't one, then every import past a module's entry point.
+
+    A language whose visibility is checked by its compiler has no such file: don't ask for its modules."""
+    found = F.concat(F.lit(f"Module must have exactly one public {name} entrypoint; found "), F.col("entry_points").cast("string"), F.lit("."))
+    counted = entries.where("entry_points <> 1").select("module", F.lit(None).cast("string").alias("file"), found.alias("message"))
+    past = F.concat(F.lit("Import "), F.col("dst"), F.lit(f" through its {name}, not private file "), F.col("target_file"), F.lit("."))
+    return counted.unionByName(bypassing_imports(edges, entries).select(F.col("src").alias("module"), "file", past.alias("message")))
+
+
 def resolve_paths(paths: DataFrame, scopes: DataFrame, aliases: DataFrame, libraries: DataFrame) -> DataFrame:
     """id, target, how: Rust paths to the scope they begin in, by the first of: crate, self, super, an alias, a child, a library.
 

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from ..operators import metrics as M
 from ..operators import references as R
 from ..operators.components import connected_components
 from ..session import table
@@ -45,21 +44,6 @@ def g01_strong_components(spark, sf_dir):
     return G.strong_components(_trade(spark, sf_dir, 1))
 
 
-CALLS = "('first', 'second'), ('second', 'first'), ('self', 'self'), ('caller', 'first'), ('p', 'loop'), ('p', 'leaf'), ('g', 'p'), ('g', 'leaf'), ('loop', 'loop'), ('x1', 'x2'), ('x2', 'x3'), ('x3', 'x1'), ('x3', 'x2')"
-
-
-@query(f"WITH RECURSIVE e AS (SELECT * FROM (VALUES {CALLS}) AS v(src, dst))" + SCC + "SELECT node, component FROM c")
-def g01_call_components(spark, sf_dir):
-    return G.strong_components(inline(spark, CALLS, "src, dst"))
-
-
-@query("SELECT * FROM (VALUES ('HL120', 'first', 'first → second → first'), ('HL120', 'loop', 'loop → loop'), ('HL120', 'self', 'self → self'), ('HL120', 'x1', 'x1 → x2 → x3 → x1')) AS v(rule, component, witness)")
-def hl120_call_cycles(spark, sf_dir):
-    edges = inline(spark, CALLS, "src, dst")
-    found = G.cycle_witnesses(edges, G.strong_components(edges))
-    return found.select(F.lit("HL120").alias("rule"), "component", F.array_join("witness", " → ").alias("witness"))
-
-
 @query(TRADE.format(top=1) + SCC + ", s AS (SELECT component, count(*) AS n FROM c GROUP BY 1 HAVING count(*) > 1) SELECT 'HL101' AS rule, CAST(component AS INTEGER) AS module, CAST(n + 1 AS BIGINT) AS length FROM s")
 def hl101_dependency_cycles(spark, sf_dir):
     edges = _trade(spark, sf_dir, 1)
@@ -114,41 +98,11 @@ def g05_long_chain(spark, sf_dir):
     return G.reachable(table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").cast("long").alias("node")), ring)
 
 
-SYMBOLS = "('main', 'used'), ('used', 'helper'), ('deadChain', 'deadLeaf'), ('recursiveA', 'recursiveB'), ('recursiveB', 'recursiveA'), ('exported', 'inner')"
-CANDIDATES = "('used'), ('helper'), ('deadChain'), ('deadLeaf'), ('recursiveA'), ('recursiveB'), ('unusedArrow'), ('exported'), ('inner')"
-
-
-@query("SELECT * FROM (VALUES ('HL114', 'deadChain'), ('HL114', 'deadLeaf'), ('HL114', 'recursiveA'), ('HL114', 'recursiveB'), ('HL114', 'unusedArrow')) AS v(rule, symbol)")
-def hl114_dead_code(spark, sf_dir):
-    roots = inline(spark, "('main'), ('exported')", "node")
-    return G.dead(inline(spark, CANDIDATES, "node"), roots, inline(spark, SYMBOLS, "src, dst")).select(F.lit("HL114").alias("rule"), F.col("node").alias("symbol"))
-
-
 @query(TRADE.format(top=2) + ", d AS (SELECT src, dst FROM e WHERE src < dst), p AS (SELECT n_nationkey AS node, 0 AS depth FROM nation UNION SELECT d.src, p.depth + 1 FROM d JOIN p ON d.dst = p.node) SELECT node, CAST(max(depth) AS BIGINT) AS depth FROM p GROUP BY 1")
 def g03_generations(spark, sf_dir):
     return G.generations(_nations(spark, sf_dir), _trade(spark, sf_dir, 2).where("src < dst")).select("node", "depth")
 
 
-FUNCTIONS = "('top', 'a'), ('middle', 'a'), ('leaf', 'a'), ('api', 'b'), ('deep', 'b'), ('loop', 'a'), ('over', 'a')"
-EDGES = "('top', 'middle'), ('top', 'leaf'), ('top', 'api'), ('middle', 'api'), ('api', 'deep'), ('loop', 'loop'), ('over', 'loop')"
-
-
-@query("SELECT * FROM (VALUES ('top', 2, 'middle'), ('middle', 1, 'api'), ('leaf', 0, NULL), ('api', 1, 'deep'), ('deep', 0, NULL)) AS v(node, d, next)".replace("SELECT *", "SELECT node, CAST(d AS BIGINT) AS depth, next"))
-def g04_module_generations(spark, sf_dir):
-    return G.generations(inline(spark, FUNCTIONS, "node, module"), inline(spark, EDGES, "src, dst"), "module")
-
-
-@query("SELECT src, dst, CAST(g AS BIGINT) AS gap FROM (VALUES ('top', 'middle', 1), ('top', 'leaf', 2), ('top', 'api', 2), ('middle', 'api', 1), ('api', 'deep', 1)) AS v(src, dst, g)")
-def g09_generation_gaps(spark, sf_dir):
-    return G.generation_gaps(inline(spark, FUNCTIONS, "node, module"), inline(spark, EDGES, "src, dst"))
-
-
-@query("SELECT 'HL121' AS rule, src, dst, CAST(2 AS BIGINT) AS gap FROM (VALUES ('top', 'leaf'), ('top', 'api')) AS v(src, dst)")
-def hl121_generation_gap(spark, sf_dir):
-    gaps = G.generation_gaps(inline(spark, FUNCTIONS, "node, module"), inline(spark, EDGES, "src, dst"))
-    return M.limit_exceeded(gaps, "gap", 1).select(F.lit("HL121").alias("rule"), "src", "dst", "gap")
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'error' AND json_extract(props, '$.k') IS NOT NULL AND user_id IS NOT NULL),
 p AS (SELECT DISTINCT x.k AS src, y.k AS dst FROM e x JOIN e y ON x.a = y.a),
 t AS (SELECT src, dst FROM p UNION SELECT t.src, p.dst FROM t JOIN p ON t.dst = p.src),
@@ -183,30 +137,6 @@ def hl115_low_cohesion(spark, sf_dir):
     return found.select(F.lit("HL115").alias("rule"), "module")
 
 
-SOURCES = "('a/index.ts', 'a'), ('a/util.ts', 'a'), ('b/index.ts', 'b'), ('b/deep/x.tsx', 'b/deep'), ('c/one.ts', 'c')"
-IMPORTS = "('a/index.ts', './util'), ('a/index.ts', '../b'), ('a/util.ts', '../b/deep/x'), ('b/index.ts', './deep/x.js'), ('c/one.ts', 'react'), ('c/one.ts', '../a/util')"
-
-
-def _edges(spark):
-    return R.import_edges(inline(spark, IMPORTS, "file, specifier"), inline(spark, SOURCES, "file, module"))
-
-
-@query("SELECT * FROM (VALUES ('a/index.ts', 'a', 'b/index.ts', 'b'), ('a/util.ts', 'a', 'b/deep/x.tsx', 'b/deep'), ('b/index.ts', 'b', 'b/deep/x.tsx', 'b/deep'), ('c/one.ts', 'c', 'a/util.ts', 'a')) AS v(file, src, target_file, dst)")
-def j01_import_edges(spark, sf_dir):
-    return _edges(spark)
-
-
-@query("SELECT module, CAST(n AS BIGINT) AS entry_points, entry_point FROM (VALUES ('a', 1, 'a/index.ts'), ('b', 1, 'b/index.ts'), ('b/deep', 0, NULL), ('c', 0, NULL)) AS v(module, n, entry_point)")
-def p05_entry_points(spark, sf_dir):
-    return R.entry_points(inline(spark, SOURCES, "file, module"))
-
-
-@query("SELECT 'HL108' AS rule, src, file, dst, target_file FROM (VALUES ('a', 'a/util.ts', 'b/deep', 'b/deep/x.tsx'), ('b', 'b/index.ts', 'b/deep', 'b/deep/x.tsx'), ('c', 'c/one.ts', 'a', 'a/util.ts')) AS v(src, file, dst, target_file)")
-def hl108_bypassing_imports(spark, sf_dir):
-    entries = R.entry_points(inline(spark, SOURCES, "file, module"))
-    return R.bypassing_imports(_edges(spark), entries).select(F.lit("HL108").alias("rule"), "src", "file", "dst", "target_file")
-
-
 @query("SELECT CAST(id AS INTEGER) AS id, target, how FROM (VALUES (1, '', 'crate'), (2, 'net/http', 'self'), (3, 'net', 'super'), (4, 'io', 'alias'), (5, 'net/http/body', 'child'), (6, 'core', 'library')) AS v(id, target, how)")
 def j10_path_resolution(spark, sf_dir):
     paths = inline(spark, "(1, 'net/http', 'crate'), (2, 'net/http', 'self'), (3, 'net/http', 'super'), (4, 'net/http', 'files'), (5, 'net/http', 'body'), (6, 'net/http', 'core'), (7, 'net/http', 'nowhere')", "id, scope, head")
