@@ -49,3 +49,17 @@ def order_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     handed = text("export { supply", F.col("s_suppkey"), " } from './s", F.col("s_suppkey"), "';\n")
     index = suppliers.where("s_acctbal >= 0").groupBy(module.alias("module")).agg(F.array_join(F.sort_array(F.collect_list(handed)), "").alias("text"))
     return scripts.unionByName(own).unionByName(index.select(F.concat("module", F.lit("/index.ts")).alias("file"), "module", "text"))
+
+
+def part_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, text: a script per brand with a function per part. Functions of one type differ in their own names and in three literals, those of
+    parts above size 25 have one statement more, those of another brand one other name, those of another type seven."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    key, kind = F.col("p_partkey"), F.col("p_type")
+    body = text(
+        "// Part ", key, "\nfunction part", key, "(value", key, ": number, note: string): number {\n  const base", key, " = value", key, " + ", F.round(F.col("p_retailprice") * 100).cast("long"), ";\n  const total = base", key, " * ", F.col("p_size"),
+        ";\n  emit_", kind, "(\"", F.col("p_name"), "\", total);\n  check_", kind, "(base", key, ", total, note)\n  const rate = ", kind, "_rate(total) + ", kind, "_base(note) - ", kind, "_tax(base", key, ");\n",
+        F.when(F.col("p_size") > 25, "  trace(total); // once more\n").otherwise(""), "  log_", F.replace("p_brand", F.lit("#")), "(rate, note);\n  return total - base", key, " + ", kind, "_rest(rate) * ", kind, "_last;\n}\n",
+    )
+    listed = parts.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", body.alias("body")))).alias("rows"))
+    return listed.select(F.concat(F.replace("p_brand", F.lit("#")), F.lit(".ts")).alias("file"), F.array_join(F.transform("rows", lambda r: r["body"]), "").alias("text"))
