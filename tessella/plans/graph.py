@@ -150,13 +150,6 @@ def j11_path_hops(spark, sf_dir):
     return R.path_hops(paths, inline(spark, "('net'), ('net/http'), ('io')", "scope"))
 
 
-@query("SELECT module, name, CAST(n AS BIGINT) AS external_references FROM (VALUES ('a', 'f', 2), ('a', 'g', 1), ('b', 'h', 0)) AS v(module, name, n)")
-def a04_rust_surface(spark, sf_dir):
-    names = inline(spark, "('a', 'f'), ('a', 'g'), ('b', 'h')", "module, name")
-    refs = inline(spark, "('c', 'a', 'f', false), ('b', 'a', '', true), ('c', 'a', 'f', false), ('b', 'b', 'h', false)", "consumer, module, name, wildcard")
-    return R.rust_surface(names, refs)
-
-
 @query("SELECT * FROM (VALUES ('', 'src/lib.rs'), ('net', 'src/net/mod.rs'), ('net/http', 'src/net/http.rs'), ('inner', 'src/lib.rs')) AS v(scope, file)")
 def s07_module_tree(spark, sf_dir):
     declared = inline(spark, "('src/lib.rs', 'net', false), ('src/lib.rs', 'inner', true), ('src/net/mod.rs', 'http', false), ('src/net/mod.rs', 'gone', false)", "file, name, inline")

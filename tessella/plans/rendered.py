@@ -63,3 +63,32 @@ def part_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     listed = parts.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", body.alias("body")))).alias("rows"))
     return listed.select(F.concat(F.replace("p_brand", F.lit("#")), F.lit(".ts")).alias("file"), F.array_join(F.transform("rows", lambda r: r["body"]), "").alias("text"))
+
+
+def trade_crates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, crate, place, text: a crate r<region> per region and a module n<nation> per nation, with a function per supplier (not shown where the
+    balance is negative) and one per customer, which calls the customer's suppliers: by name, through the crate, or in a macro through another crate.
+    A nation also uses all that the nation before it shows."""
+    t = lambda name: table(spark, sf_dir, name)
+    nations = t("nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    suppliers = t("supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
+    used = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select("o_custkey", F.col("l_suppkey").alias("s_suppkey")).distinct()
+    far = suppliers.join(nations, "nation").select("s_suppkey", F.col("nation").alias("s_nation"), F.col("region").alias("s_region"))
+    lists = used.join(far, "s_suppkey").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_nation", "s_region"))).alias("used"))
+    customers = t("customer").select("c_custkey", F.col("c_nationkey").alias("nation")).join(nations, "nation").join(lists, F.col("c_custkey") == F.col("o_custkey"), "left")
+
+    def call(s):
+        name = text("supply", s["s_suppkey"], "()")
+        through = F.when(s["s_nation"] == F.col("nation"), name).when(s["s_region"] == F.col("region"), text("crate::n", s["s_nation"], "::", name))
+        return text("    ", F.coalesce(through, text('println!("{}", r', s["s_region"], "::n", s["s_nation"], "::", name, ")")), ";\n")
+
+    body = text("/* crate::n0::supply0() /* nested */\n*/\nfn customer", F.col("c_custkey"), "() {\n    // r0::n0::supply0()\n", F.array_join(F.transform(F.coalesce("used", F.array()), call), ""), "}\n")
+    shown = text(F.when(F.col("s_acctbal") >= 0, "pub").otherwise("pub(self)"), " fn supply", F.col("s_suppkey"), "() -> u32 { 1 }\n")
+    lines = customers.select("nation", F.lit(1).alias("part"), F.col("c_custkey").alias("key"), body.alias("body")).unionByName(suppliers.select("nation", F.lit(0).alias("part"), F.col("s_suppkey").alias("key"), shown.alias("body")))
+    listed = lines.groupBy("nation").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "key", "body"))), lambda x: x["body"]), "").alias("body"))
+    before = nations.select((F.col("nation") + 1).alias("nation"), F.col("region").alias("b_region"))
+    head = F.coalesce(text("use r", F.col("b_region"), "::n", F.col("nation") - 1, "::*;\n"), F.lit(""))
+    crate = text("r", F.col("region"))
+    files = nations.join(listed, "nation", "left").join(before, "nation", "left").select(text(crate, "/src/n", F.col("nation"), ".rs").alias("file"), crate.alias("crate"), text(crate, "/n", F.col("nation")).alias("place"), F.concat(head, F.coalesce("body", F.lit(""))).alias("text"))
+    roots = nations.groupBy(crate.alias("crate")).agg(F.array_join(F.sort_array(F.collect_list(text("pub mod n", F.col("nation"), ";\n"))), "").alias("text"))
+    return files.unionByName(roots.select(F.concat("crate", F.lit("/src/lib.rs")).alias("file"), "crate", F.col("crate").alias("place"), "text"))

@@ -65,11 +65,6 @@ def hl112_instruction_limit(spark, sf_dir):
 CODE = r"""('a.ts', 'const a = 1; // one\n\n/* two\n three */\nconst s = "// no";\n'), ('b.ts', '// only\n'), ('c.ts', NULL)"""
 
 
-@query("SELECT * FROM (VALUES ('a.ts', 2::BIGINT), ('b.ts', 0), ('c.ts', 0)) AS v(file, lines)")
-def t04_meaningful_lines(spark, sf_dir):
-    return inline(spark, CODE, "file, text").select("file", X.meaningful_lines(F.col("text")).alias("lines"))
-
-
 FILES = """('src/a/index.ts'), ('src/a/b.test.ts'), ('tests/x.ts'), ('main.ts'), ('node_modules/q/i.js'), ('src/styles/c.css'), ('src/pages/p.tsx'), ('scripts/t.mjs'), ('src/d.d.ts')"""
 
 
