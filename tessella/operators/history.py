@@ -113,3 +113,20 @@ def ranked(pairs: DataFrame) -> DataFrame:
     """Add rank: by the smaller rate, shared commits, lift, all falling, then paths."""
     w = Window.orderBy(F.least("rate_a", "rate_b").desc(), F.desc("shared"), F.desc("lift"), "a", "b")
     return pairs.withColumn("rank", F.row_number().over(w))
+
+
+def snapshot_summary(files: DataFrame) -> DataFrame:
+    """A row per repo, seq and revision of snapshot files (repo, seq, revision, path, lines, test, index, reexport): numbers of files, lines, folders and
+    index files, of those that aren't tests as a whole and, as ts_, of those in TypeScript."""
+    own = ~F.col("test")
+    typed = own & F.col("path").rlike(r"\.tsx?$")
+    folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).otherwise(".")
+    count = lambda when: F.count_if(when)
+    lines = lambda when: F.coalesce(F.sum(F.when(when, F.col("lines"))), F.lit(0))
+    return files.groupBy("repo", "seq", "revision").agg(
+        F.count("*").alias("files"), count(own).alias("production_files"), count(F.col("test")).alias("test_files"), F.sum("lines").alias("nonempty_lines"), lines(own).alias("production_nonempty_lines"),
+        F.median(F.when(own, F.col("lines"))).alias("median_lines"), count(own & (F.col("lines") <= 20)).alias("tiny_files"), count(own & F.col("index")).alias("index_files"),
+        count(own & F.col("index") & F.col("reexport")).alias("reexporting_index_files"), F.count_distinct(F.when(own, folder)).alias("directories"),
+        count(typed).alias("ts_files"), lines(typed).alias("ts_nonempty_lines"), F.median(F.when(typed, F.col("lines"))).alias("ts_median_lines"), count(typed & (F.col("lines") <= 20)).alias("ts_tiny_files"),
+        count(typed & F.col("index")).alias("ts_index_files"), F.count_distinct(F.when(typed, folder)).alias("ts_directories"),
+    )
