@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import calls, clones, graph, metrics, reports, rust, similarity, sources, text  # noqa: F401
+from .plans import calls, clones, fixes, graph, metrics, reports, rust, similarity, sources, text  # noqa: F401
 from .plans.base import ORACLES, QUERIES, Query
 
 

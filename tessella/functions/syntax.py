@@ -21,6 +21,9 @@ _RUST = re.compile(
 )
 _PATTERN = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])*/[A-Za-z]*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*(?P<end>`|\$\{|\Z)", re.DOTALL)
+#: The start of a markup element in a script: its name, and what may follow it. Type parameters begin alike but go on with a comma or `extends`.
+_ELEMENT = re.compile(r"<(?:/|(?:[A-Za-z_$][\w.$:-]*)?(?=\s*(?:/?>|\{|(?!extends\b)[A-Za-z_$][\w:-]*\s*(?:=\s*[\"'{<]|[A-Za-z_${/>]))))")
+_MARKUP_TEXT = re.compile(r"[^<{]*")
 _COMMENT_EDGE = re.compile(r"/\*|\*/")
 CLOSING = {"(": ")", "[": "]", "{": "}", "${": "}"}
 #: Words after which an expression begins, so that a slash there begins a pattern.
@@ -28,14 +31,19 @@ _BEFORE_VALUE = frozenset("return typeof case in of delete void throw new else d
 
 
 class Tokens:
-    """Parallel lists, a place for each token: kind (word, number, string, punct), text, start, end, parent (place of the bracket around it,
-    -1 outside all), pair (place of a bracket's partner: the number of tokens for one that is never closed, -1 for other tokens)."""
+    """Parallel lists, a place for each token: kind (word, number, string, punct, text of markup), text, start, end, parent (place of the bracket around it,
+    -1 outside all), pair (place of a bracket's partner: the number of tokens for one that is never closed, -1 for other tokens).
 
-    def __init__(self, source: str | None, rust: bool = False):
+    With `markup`, elements in scripts are read as such: `elements` has the places of their first signs."""
+
+    def __init__(self, source: str | None, rust: bool = False, markup: bool = False):
         self.source = (source or "").replace("\r\n", "\n").replace("\r", "\n")
         self.kind, self.text, self.start, self.end, self.parent, self.pair = [], [], [], [], [], []
         self._open: list[int] = []
-        self._read(rust)
+        self.elements: list[int] = []
+        # Where markup is being read: in a tag, its type parameters, a closing tag, between tags, or in the code of a bracket within (its place).
+        self._modes: list[str | int] = []
+        self._read(rust, markup)
         for i in self._open:
             self.pair[i] = len(self.kind)
         self._lines = [m.end() for m in re.finditer("\n", self.source)]
@@ -78,9 +86,38 @@ class Tokens:
             return False
         return self.text[-1] in (")", "]") if self.kind[-1] == "punct" else self.text[-1] not in _BEFORE_VALUE
 
-    def _read(self, rust: bool) -> None:
+    def _markup(self, at: int) -> int:
+        """Text between tags, up to a tag or a bracket; returns where reading goes on."""
+        end = _MARKUP_TEXT.match(self.source, at).end()
+        if self.source[at:end].strip():
+            self._add("text", at, end)
+        if end < len(self.source):
+            self._add("punct", end, end + 1)
+            if self.source[end] == "{":
+                self._open.append(len(self) - 1)
+                self._modes.append(len(self) - 1)
+            else:
+                closing = self.source.startswith("</", end)
+                self._modes.append("close" if closing else "tag")
+                if not closing:
+                    self.elements.append(len(self) - 1)
+        return end + 1
+
+    def _end_of_tag(self) -> None:
+        """After the `>` of a tag: an opening one begins what is between, a closing one ends it, one that ends itself does neither."""
+        mode = self._modes.pop()
+        if mode == "tag" and not (len(self) > 1 and self.text[-2] == "/"):
+            self._modes.append("between")
+        elif mode == "close" and self._modes and self._modes[-1] == "between":
+            self._modes.pop()
+
+    def _read(self, rust: bool, markup: bool) -> None:
         rules, at, size = (_RUST if rust else _SCRIPT), 0, len(self.source)
         while at < size:
+            if self._modes and self._modes[-1] == "between":
+                at = self._markup(at)
+                continue
+            in_tag = bool(self._modes) and self._modes[-1] in ("tag", "close")
             found = rules.match(self.source, at)
             kind, end = found.lastgroup, found.end()
             if kind == "hashes":
@@ -95,7 +132,10 @@ class Tokens:
             if text == "`" and not rust:
                 at = self._template(at, end)
                 continue
-            if text == "/" and not rust and not self._value_before() and (pattern := _PATTERN.match(self.source, at)):
+            if text == "<" and markup and not in_tag and not self._value_before() and _ELEMENT.match(self.source, at):
+                self._modes.append("tag")
+                self.elements.append(len(self))
+            if text == "/" and not rust and not in_tag and not self._value_before() and (pattern := _PATTERN.match(self.source, at)):
                 kind, end = "string", pattern.end()
             if text in (")", "]", "}"):
                 self._close(at, end, text)
@@ -105,6 +145,14 @@ class Tokens:
                 self._add(kind, at, end)
                 if text in CLOSING:
                     self._open.append(len(self) - 1)
+                    if in_tag and text == "{":
+                        self._modes.append(len(self) - 1)
+                if markup and text == "<" and self._modes and (in_tag and self.kind[-2] == "word" or self._modes[-1] == "type"):
+                    self._modes.append("type")
+                elif text == ">" and self._modes and self._modes[-1] == "type":
+                    self._modes.pop()
+                elif text == ">" and in_tag:
+                    self._end_of_tag()
             at = end
 
     def _close(self, start: int, end: int, text: str) -> None:
@@ -117,6 +165,9 @@ class Tokens:
             self.pair[i] = len(self)
         opened = self._open[fits]
         del self._open[fits:]
+        # The bracket's code is over, with all markup that was left open in it.
+        if opened in self._modes:
+            del self._modes[self._modes.index(opened) :]
         self._add("punct", start, end)
         self.pair[opened], self.pair[-1] = len(self) - 1, opened
 

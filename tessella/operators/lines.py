@@ -1,4 +1,4 @@
-"""Lines of source texts that hold tokens."""
+"""What scanners find on the lines of source texts: tokens, inline styles."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsx import inline_styles
 from ..functions.syntax import token_lines
 
 
@@ -22,3 +23,16 @@ def token_line_counts(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.int64())], names=["file", "lines"])
 
     return texts.select("file", F.col("text").cast("string").alias("text")).mapInArrow(run, "file string, lines long")
+
+
+def script_styles(texts: DataFrame) -> DataFrame:
+    """file, line, signature of every inline style in the markup of scripts: attributes, and properties of objects spread into an element. The
+    signature doesn't depend on the layout. Other text that looks like one, in strings, comments or between tags, isn't found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(file.as_py(), line, signature) for file, text in zip(batch.column(0), batch.column(1)) for line, signature in inline_styles(text.as_py())]
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], names=["file", "line", "signature"])
+
+    return texts.select("file", F.col("text").cast("string").alias("text")).mapInArrow(run, "file string, line int, signature string")

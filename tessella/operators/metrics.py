@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +48,17 @@ def outlier_flags(rows: DataFrame, columns: Sequence[str], minimum: dict[str, fl
     return out.drop(*[f"__{n}_{c}" for c in columns for n in ("mean", "dev")])
 
 
+def coupling_findings(metrics: DataFrame, minimum: Mapping[str, float], min_z: float) -> DataFrame:
+    """module, score, message: modules whose fan-out and whose referenced contracts are both outliers; where their fan-in is one as well, a second
+    finding tells it. metrics(module, dependencies, dependents, referenced_contracts); an outlier is at least its `minimum` and `min_z` deviations above the mean."""
+    flags = outlier_flags(metrics, ["dependencies", "dependents", "referenced_contracts"], dict(minimum), min_z).where("dependencies_outlier and referenced_contracts_outlier")
+    n = lambda c: F.col(c).cast("string")
+    outward = F.concat(F.lit("Outward coupling concentration: fan-out of "), n("dependencies"), F.lit(" and "), n("referenced_contracts"), F.lit(" referenced contracts are both repository outliers."))
+    inward = F.concat(F.lit("fan-in of "), n("dependents"), F.lit(" is a repository outlier. Outward coupling is also concentrated in this module."))
+    told = F.array(F.struct(F.col("referenced_contracts").alias("score"), outward.alias("message")), F.when(F.col("dependents_outlier"), F.struct(F.col("dependents").alias("score"), inward.alias("message"))))
+    return flags.select("module", F.explode(F.filter(told, lambda x: x.isNotNull())).alias("x")).select("module", "x.score", "x.message")
+
+
 def weighted_scores(findings: DataFrame, threshold: float, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """module, score of the modules that reach the threshold; findings without a module, or of other severities, don't count."""
     points = F.lit(None).cast("long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import Coupling
 from ..functions.text import nonblank_lines, plural, rounded_percent
 from ..operators import history as H
 from ..operators import metrics as M
@@ -70,11 +71,30 @@ def a06_coupling_outliers(spark, sf_dir):
     return flags.select("module", *[F.col(a).alias(b) for a, b in names.items()], F.round("referenced_contracts_z", 6).alias("contracts_z"))
 
 
-@query(OUT + "SELECT module, 'HL103' AS rule, CAST(1 AS BIGINT) AS findings FROM z WHERE zc >= 1 AND zr >= 1 AND referenced_contracts >= 3")
+TRADERS = """WITH l AS (SELECT 'c' || o_custkey AS c, 's' || l_suppkey AS s, l_partkey, l_orderkey, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+r AS (SELECT c AS src, s AS dst, 'p' || l_partkey AS contract FROM l UNION ALL SELECT s, c, 'o' || l_orderkey FROM l WHERE l_returnflag = 'R'),
+m AS (SELECT module, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) AS fan_in, coalesce(contracts, 0) AS contracts FROM (SELECT 'c' || c_custkey AS module FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier)
+ LEFT JOIN (SELECT src, count(DISTINCT dst) AS fan_out, count(DISTINCT contract) AS contracts FROM r GROUP BY 1) o ON o.src = module LEFT JOIN (SELECT dst, count(DISTINCT src) AS fan_in FROM r GROUP BY 1) i ON i.dst = module),
+z AS (SELECT *, fan_out >= 5 AND fan_out - avg(fan_out) OVER () >= 2 * stddev_pop(fan_out) OVER () AND stddev_pop(fan_out) OVER () > 0 AS wide, contracts >= 10 AND contracts - avg(contracts) OVER () >= 2 * stddev_pop(contracts) OVER () AND stddev_pop(contracts) OVER () > 0 AS deep,
+ fan_in >= 5 AND fan_in - avg(fan_in) OVER () >= 2 * stddev_pop(fan_in) OVER () AND stddev_pop(fan_in) OVER () > 0 AS known FROM m) """
+
+
+@query(TRADERS + """SELECT 'HL103' AS rule, module, CAST(contracts AS BIGINT) AS score, 'Outward coupling concentration: fan-out of ' || fan_out || ' and ' || contracts || ' referenced contracts are both repository outliers.' AS message FROM z WHERE wide AND deep
+UNION ALL SELECT 'HL103', module, CAST(fan_in AS BIGINT), 'fan-in of ' || fan_in || ' is a repository outlier. Outward coupling is also concentrated in this module.' FROM z WHERE wide AND deep AND known""")
 def hl103_coupling(spark, sf_dir):
-    flags = M.outlier_flags(_metrics(spark, sf_dir), ["referenced_contracts", "cross_module_references"], {"referenced_contracts": 3}, 1.0)
-    both = flags.where("referenced_contracts_outlier and cross_module_references_outlier")
-    return both.select("module", F.lit("HL103").alias("rule"), F.lit(1).cast("long").alias("findings"))
+    """Customers and suppliers as modules: an order line refers to its supplier, a returned one back to its customer."""
+    t = lambda name: table(spark, sf_dir, name)
+    name = lambda sort, key: F.concat(F.lit(sort), F.col(key).cast("string"))
+    lines = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sent = lines.select(name("c", "o_custkey").alias("src"), name("s", "l_suppkey").alias("dst"), name("p", "l_partkey").alias("contract"))
+    returned = lines.where("l_returnflag = 'R'").select(name("s", "l_suppkey").alias("src"), name("c", "o_custkey").alias("dst"), name("o", "l_orderkey").alias("contract"))
+    references = sent.unionByName(returned)
+    modules = t("customer").select(name("c", "c_custkey").alias("module")).unionByName(t("supplier").select(name("s", "s_suppkey").alias("module")))
+    none = modules.select("module", F.col("module").alias("name"), F.lit(True).alias("public")).where(F.lit(False))
+    metrics = M.module_metrics(modules, none, references.select("src", "dst").distinct(), references)
+    limits = Coupling()
+    minimum = {"dependencies": limits.minimum_fan_out, "dependents": limits.minimum_fan_in, "referenced_contracts": limits.minimum_contracts}
+    return M.coupling_findings(metrics, minimum, limits.minimum_z).select(F.lit("HL103").alias("rule"), "module", "score", "message")
 
 
 UNUSED = "SELECT module, CAST(count(*) AS BIGINT) AS unused, string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT p_brand AS module, p_name || '#' || p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)) GROUP BY 1"

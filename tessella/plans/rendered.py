@@ -92,3 +92,16 @@ def trade_crates(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = nations.join(listed, "nation", "left").join(before, "nation", "left").select(text(crate, "/src/n", F.col("nation"), ".rs").alias("file"), crate.alias("crate"), text(crate, "/n", F.col("nation")).alias("place"), F.concat(head, F.coalesce("body", F.lit(""))).alias("text"))
     roots = nations.groupBy(crate.alias("crate")).agg(F.array_join(F.sort_array(F.collect_list(text("pub mod n", F.col("nation"), ";\n"))), "").alias("text"))
     return files.unionByName(roots.select(F.concat("crate", F.lit("/src/lib.rs")).alias("file"), "crate", F.col("crate").alias("place"), "text"))
+
+
+def customer_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, text: a component per customer, with an inline style of the segment's sort, or none; what looks like one stands between tags and in comments."""
+    customers = table(spark, sf_dir, "customer")
+    key, size = F.col("c_custkey"), F.abs(F.round("c_acctbal")).cast("long")
+    styled = (
+        F.when(F.col("c_mktsegment") == "BUILDING", text("<li style={{ width: ", size, ", /* px */ }}>don't {name} style={1}</li>"))
+        .when(F.col("c_mktsegment") == "MACHINERY", text("<li\n  {...{ style: { top: ", size, " }, id: 'x' }} />"))
+        .when(F.col("c_mktsegment") == "HOUSEHOLD", text("<p>\n  {list.map((x) => <b key={x} style=\"c", key, "\">it's</b>)}</p>"))
+        .otherwise(F.lit("<li>style={{ a: 1 }}</li>"))
+    )
+    return customers.select(text("n", F.col("c_nationkey"), "/v", key, ".tsx").alias("file"), text("export const View", key, " = ({ name, list }) => ", styled, "; // <li style={1} />\n").alias("text"))
