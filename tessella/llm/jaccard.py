@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import scratch_path, small_batches, staged
+from .common import release_memory, releasing, scratch_path, small_batches, staged
 from .shared import SortedShards
 from .tokens import MUL, hashed_texts, mixed
 
@@ -113,9 +113,12 @@ def document_frequencies(sets: DataFrame, column: str, name: str) -> SortedShard
         keys, n = keys[first], np.add.reduceat(n, first)
         kept = n >= 2
         shards.save(int(key[0].as_py()), df=n[kept].astype(np.uint32), key=keys[kept] << np.uint64(64 - KEY_BITS))
-        return pa.table({"n": pa.array([int(kept.sum())], pa.int64())})
+        out = pa.table({"n": pa.array([int(kept.sum())], pa.int64())})
+        del keys, n, order, first, kept
+        release_memory()
+        return out
 
-    counted = sets.select(column).mapInArrow(count, "shard long, keys binary, counts binary")
+    counted = sets.select(column).mapInArrow(releasing(count), "shard long, keys binary, counts binary")
     counted.groupBy("shard").applyInArrow(total, "n long").agg(F.sum("n")).collect()
     return shards
 
@@ -161,7 +164,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), _signed(h1), _signed(h2), _lists(kept)], names=["id", "n", "h1", "h2", "tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return staged(plain.mapInArrow(describe, f"id {kind}, n long, h1 long, h2 long, tokens array<long>"), "shingle-sets")
+    return staged(plain.mapInArrow(releasing(describe), f"id {kind}, n long, h1 long, h2 long, tokens array<long>"), "shingle-sets")
 
 
 def _ordered(sets: DataFrame, seen: SortedShards, kind: str) -> tuple[DataFrame, DataFrame]:
@@ -186,7 +189,7 @@ def _ordered(sets: DataFrame, seen: SortedShards, kind: str) -> tuple[DataFrame,
                 places.append((alone + np.arange(len(first))).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array(ns[keep]), _lists(tokens), _lists(prefixes), _lists(places)], names=["cid", "n", "tokens", "prefix", "places"])
 
-    kept = staged(sets.select("cid", "n", "tokens").mapInArrow(cut, f"cid {kind}, n long, tokens array<long>, prefix array<long>, places array<long>"), "shingle-prefixes")
+    kept = staged(sets.select("cid", "n", "tokens").mapInArrow(releasing(cut), f"cid {kind}, n long, tokens array<long>, prefix array<long>, places array<long>"), "shingle-prefixes")
     postings = kept.select("cid", "n", F.explode(F.arrays_zip("prefix", "places")).alias("x")).select(F.col("x.prefix").alias("token"), "cid", "n", F.col("x.places").alias("p"))
     return kept.select("cid", "n", "tokens"), postings
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_staged, scratch_path, small_batches, staged
+from .common import drop_staged, release_memory, releasing, scratch_path, small_batches, staged
 from .shared import SortedShards, ragged
 from .tokens import MUL, mixed, parts, powers
 
@@ -190,7 +190,7 @@ def distinct_segments(docs: DataFrame, model: Model, text_col: str = "text", has
         if keys:
             yield distinct()
 
-    return docs.select(text_col).mapInArrow(run, "key long, word string").groupBy("key", "word").agg(F.lit(1).alias("one")).select("key", "word")
+    return docs.select(text_col).mapInArrow(releasing(run), "key long, word string").groupBy("key", "word").agg(F.lit(1).alias("one")).select("key", "word")
 
 
 def _kept_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -375,7 +375,10 @@ def build_dictionary(docs: DataFrame, model: Model, text_col: str = "text", hash
         ends = lists.offsets.to_numpy().astype(np.int64)
         # A twin's list is of no use, but its key is there.
         shards.save(key[0].as_py(), ids=lists.values.to_numpy().astype(np.int32), ids_at=ends[1:][new] - ends[0], begin=ends[:-1][new] - ends[0], key=keys[new])
-        return rows.filter(pa.array(twin)).select(["key", "word", "ids"])
+        out = rows.filter(pa.array(twin)).select(["key", "word", "ids"])
+        del rows, lists, keys
+        release_memory()
+        return out
 
     twins: dict[int, dict[str, list[int]]] = {}
     for r in dealt.groupBy("shard").applyInArrow(write, "key long, word string, ids array<int>").collect():
@@ -425,7 +428,7 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
                 texts = [pa.array(_texts(ids, ends, *spellings), pa.string())] if spellings else []
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists, *texts], names=names)
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(look_up, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(releasing(look_up), schema)
 
 
 def decode(coded: DataFrame, model: Model, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
