@@ -148,10 +148,3 @@ def j10_path_resolution(spark, sf_dir):
 def j11_path_hops(spark, sf_dir):
     paths = inline(spark, "(1, array('net', 'http', 'Request')), (2, array('io', 'Reader')), (3, array('std', 'fmt'))", "id, segments")
     return R.path_hops(paths, inline(spark, "('net'), ('net/http'), ('io')", "scope"))
-
-
-@query("SELECT * FROM (VALUES ('', 'src/lib.rs'), ('net', 'src/net/mod.rs'), ('net/http', 'src/net/http.rs'), ('inner', 'src/lib.rs')) AS v(scope, file)")
-def s07_module_tree(spark, sf_dir):
-    declared = inline(spark, "('src/lib.rs', 'net', false), ('src/lib.rs', 'inner', true), ('src/net/mod.rs', 'http', false), ('src/net/mod.rs', 'gone', false)", "file, name, inline")
-    files = inline(spark, "('src/lib.rs'), ('src/net/mod.rs'), ('src/net/http.rs'), ('src/net/http/mod.rs')", "file")
-    return R.module_tree(declared, files, inline(spark, "('src/lib.rs')", "file"))

@@ -22,30 +22,3 @@ def s05_crates(spark, sf_dir):
     """Crate roots that exist."""
     files = inline(spark, "('src/core.rs'), ('src/main.rs'), ('src/util.rs'), ('tests/one.rs'), ('tools/src/bin/run.rs'), ('tools/build.rs')", "file")
     return S.crates(inline(spark, MANIFEST, "directory, text"), files).select("crate", "kind", "root")
-
-
-RUST = r"""('src/lib.rs', 'pub mod a;\nmod b { }\n// mod c;\npub(crate) fn run() { }\nstruct S;\nuse crate::a::{self, x as y, z::*};\n')"""
-
-
-@query("SELECT * FROM (VALUES ('src/lib.rs', 'a:false,b:true', 'run:pub(crate),S:')) AS v(file, modules, items)")
-def s08_rust_facts(spark, sf_dir):
-    found = S.scan_rust(inline(spark, RUST, "file, text"))
-    modules = F.array_join(F.transform("modules", lambda m: F.concat(m["name"], F.lit(":"), m["inline"].cast("string"))), ",")
-    items = F.array_join(F.transform("items", lambda m: F.concat(m["name"], F.lit(":"), m["visibility"])), ",")
-    return found.select("file", modules.alias("modules"), items.alias("items"))
-
-
-@query("SELECT * FROM (VALUES ('crate::a', 'a', false), ('crate::a::x', 'y', false), ('crate::a::z', NULL, true)) AS v(path, name, wildcard)")
-def t05_use_leaves(spark, sf_dir):
-    """Leaves of a tree of uses."""
-    found = S.scan_rust(inline(spark, RUST, "file, text")).select("file", F.explode("uses").alias("use"))
-    return S.use_leaves(found).select("path", "name", "wildcard")
-
-
-SCRIPT = r"""('a.ts', 'import { x } from "./x";\nexport function f() { }\nclass C { }\nexport { C, x as y };\nconst z = require("z");\n')"""
-
-
-@query("SELECT 'a.ts' AS file, './x,z' AS imports, 'f,C,y' AS exports, 'f,C,z' AS declared")
-def s01_script_facts(spark, sf_dir):
-    found = S.scan_scripts(inline(spark, SCRIPT, "file, text"))
-    return found.select("file", *[F.array_join(c, ",").alias(c) for c in ("imports", "exports", "declared")])

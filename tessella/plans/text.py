@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import paths as P
 from ..functions import text as X
 from ..operators import metrics as M
 from ..session import table
@@ -48,31 +47,16 @@ def hl118_color_files(spark, sf_dir):
     return M.color_files(rows, ["."], 1).select(F.lit("HL118").alias("rule"), "file", "score", F.array_join("colors", ",").alias("colors"))
 
 
-LINES = r"""('a', ''), ('b', 'one'), ('c', 'one\ntwo\n'), ('d', 'one\r\ntwo\r\n\r\nfour')"""
+COUNTED = "WITH l AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split_regex(text, '\\r?\\n')) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS lines FROM documents) "
 
 
-@query("SELECT * FROM (VALUES ('a', 0::BIGINT), ('b', 1), ('c', 2), ('d', 4)) AS v(file, lines)")
+@query(COUNTED + "SELECT doc_id, CAST(lines AS BIGINT) AS lines FROM l")
 def s18_instruction_lines(spark, sf_dir):
-    return inline(spark, LINES, "file, text").select("file", X.line_count(F.col("text")).alias("lines"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.line_count(F.col("text")).alias("lines"))
 
 
-@query("SELECT 'HL112' AS rule, 'd' AS file, CAST(4 AS BIGINT) AS lines")
+@query(COUNTED + "SELECT 'HL112' AS rule, doc_id AS file, CAST(lines AS BIGINT) AS lines FROM l WHERE lines > 20")
 def hl112_instruction_limit(spark, sf_dir):
-    rows = inline(spark, LINES, "file, text").select("file", X.line_count(F.col("text")).alias("lines"))
-    return M.limit_exceeded(rows, "lines", 3).select(F.lit("HL112").alias("rule"), "file", "lines")
-
-
-CODE = r"""('a.ts', 'const a = 1; // one\n\n/* two\n three */\nconst s = "// no";\n'), ('b.ts', '// only\n'), ('c.ts', NULL)"""
-
-
-FILES = """('src/a/index.ts'), ('src/a/b.test.ts'), ('tests/x.ts'), ('main.ts'), ('node_modules/q/i.js'), ('src/styles/c.css'), ('src/pages/p.tsx'), ('scripts/t.mjs'), ('src/d.d.ts')"""
-
-
-@query("""SELECT * FROM (VALUES ('src/a/index.ts', 'src/a', true, false, true, true, 'source'), ('src/a/b.test.ts', 'src/a', false, true, true, true, 'test'), ('tests/x.ts', 'tests', false, true, true, true, 'test'),
-('main.ts', '.', false, false, true, true, 'source'), ('node_modules/q/i.js', 'node_modules/q', false, false, false, false, 'source'), ('src/styles/c.css', 'src/styles', false, false, true, false, 'style'),
-('src/pages/p.tsx', 'src/pages', false, false, true, true, 'page'), ('scripts/t.mjs', 'scripts', false, false, true, true, 'tool'), ('src/d.d.ts', 'src', false, false, true, false, 'source')) AS v(file, module, entry, test, authored, script, family)""")
-def p01_file_kinds(spark, sf_dir):
-    """Module, entry point, test, authored, script and family of a path."""
-    f = F.col("file")
-    rows = inline(spark, FILES, "file")
-    return rows.select("file", P.module_of(f).alias("module"), P.is_entry_point(f).alias("entry"), P.is_test(f).alias("test"), P.is_authored(f).alias("authored"), P.is_script(f).alias("script"), P.code_family(f).alias("family"))
+    """Texts of more than twenty lines."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), X.line_count(F.col("text")).alias("lines"))
+    return M.limit_exceeded(rows, "lines", 20).select(F.lit("HL112").alias("rule"), "file", "lines")
