@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import drop_staged, remove, scratch_path, small_batches, staged, without_old_shuffles
-from .shared import HashArrays, SortedShards
+from .shared import HashArrays, Shards, SortedShards
 from .tokens import MUL, hashed_texts, mixed
 
 #: The token that ends a text, beside the words' hashes.
@@ -23,6 +23,8 @@ START, UNKNOWN = np.uint64(0), np.uint64(1 << 63)
 COUNTED_TOKENS, SCORED_TOKENS = 1_500_000, 400_000
 #: Bytes of text for each shard of the model: about a million n-grams.
 SHARD_BYTES = 6_000_000
+#: Shards of tokens whose first numbers are in one file.
+FIRSTS = 1024
 #: A context after which more than this share of all tokens stands has its n-grams dealt one by one; there are at most twice as many such as 1 / HOT.
 HOT = 1 / 1024
 
@@ -144,11 +146,11 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """counts: token's hash -> times, and its rank among the tokens of its shard whose counts have as many bits; firsts: per shard and number of
-    bits, the number of the first such token. So frequent tokens have small numbers."""
+    """counts: token's hash -> times, and its rank among the tokens of its shard whose counts have as many bits; firsts: in files of FIRSTS shards,
+    per shard and number of bits the number of the first such token. So frequent tokens have small numbers."""
 
     counts: SortedShards
-    firsts: np.ndarray
+    firsts: Shards
     tokens: int
     kinds: int
 
@@ -159,7 +161,8 @@ class Vocabulary:
             hit = at >= 0
             if arrays and hit.any():
                 n, rank = arrays["n"][at[hit]].astype(np.int64), arrays["rank"][at[hit]]
-                first = self.firsts[int(_top(tokens[lo : lo + 1], self.counts.bits)[0])]
+                shard = int(_top(tokens[lo : lo + 1], self.counts.bits)[0])
+                first = self.firsts.shard(shard // FIRSTS)["first"].reshape(-1, 64)[shard % FIRSTS]
                 times[lo:hi][hit] = n
                 numbers[lo:hi][hit] = first[_bits_of(n)].astype(np.uint64) + rank
         return times, numbers
@@ -225,6 +228,34 @@ def _hot_candidates(token: np.ndarray, back: np.ndarray, n: np.ndarray, stops: n
     return out
 
 
+def _number(totals: DataFrame, uri: str, blocks: int) -> tuple[Shards, int, int]:
+    """Give the tokens numbers from 1, the most frequent first: by the number of bits of a count, then by shard. Also the number of tokens and of kinds.
+
+    Where the numbers of each shard begin is written by blocks of FIRSTS shards; the driver sums blocks only, and tasks get 64 numbers a block."""
+    per = np.zeros((blocks, 64), np.int64)
+    tokens = 0
+    for r in totals.select("block", F.posexplode("sums").alias("at", "n")).groupBy("block", "at").agg(F.sum("n").alias("n")).toLocalIterator():
+        if r["at"]:
+            per[r["block"], r["at"] - 1] = r["n"]
+        else:
+            tokens += r["n"]
+    by_size = per[:, ::-1].T.ravel()
+    begin = (1 + np.cumsum(by_size) - by_size).reshape(64, -1).T[:, ::-1]
+    firsts = Shards(uri)
+
+    def save(key: tuple, rows: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        own = np.zeros((FIRSTS, 64), np.int64)
+        own[rows["shard"].to_numpy() % FIRSTS] = rows["sums"].combine_chunks().flatten().to_numpy().reshape(-1, 65)[:, 1:]
+        firsts.save(block, first=(begin[block] + np.cumsum(own, axis=0) - own).ravel())
+        return pa.table({"block": pa.array([block], pa.int32())})
+
+    written = totals.select("block", "shard", "sums").groupBy("block").applyInArrow(save, "block int").count()
+    if written != int((per.sum(axis=1) > 0).sum()):
+        raise RuntimeError("a block of shards was not written")
+    return firsts, tokens, int(per.sum())
+
+
 def _count_tokens(docs: DataFrame, text_col: str, bits: int, order: int, share: float, uri: str) -> tuple[Vocabulary, dict[int, np.ndarray]]:
     """The vocabulary, and per order the keys of hot contexts."""
     counts = SortedShards(uri, bits, ("n", "rank"))
@@ -251,16 +282,9 @@ def _count_tokens(docs: DataFrame, text_col: str, bits: int, order: int, share:
     rows = docs.select(text_col).mapInArrow(count, _ROWS)
     dealt = rows.withColumn("shard", F.when(F.col("kind") == _HOT, F.pmod(F.xxhash64("data"), F.lit(1 << bits)).cast("int")).otherwise(F.col("shard"))).withColumn("key", F.when(F.col("kind") == _HOT, F.col("shard")).otherwise(F.col("key")))
     sums = staged(dealt.groupBy("kind", "shard").applyInArrow(save, _ROWS), "ngram-tokens")
-    per = np.zeros((1 << bits, 64), np.int64)
-    tokens = 0
-    for r in sums.where(F.col("kind") == _TOTALS).select("shard", "sums").toLocalIterator():
-        tokens += r["sums"][0]
-        per[r["shard"]] = r["sums"][1:65]
-    # Numbers from 1, the most frequent first: by the number of bits of a count, then by shard.
-    by_size = per[:, ::-1].T.ravel()
-    firsts = (1 + np.cumsum(by_size) - by_size).reshape(64, -1).T[:, ::-1]
-    vocabulary = Vocabulary(counts, firsts, tokens, int(per.sum()))
-    often = sums.where(F.col("kind") == _HOT).groupBy("data").agg(F.sum(F.col("sums")[0]).alias("n")).where(F.col("n") > share / 2 * tokens).collect()
+    totals = sums.where(F.col("kind") == _TOTALS).withColumn("block", F.floor(F.col("shard") / FIRSTS).cast("int"))
+    vocabulary = Vocabulary(counts, *_number(totals, f"{uri}-firsts", -(-(1 << bits) // FIRSTS)))
+    often = sums.where(F.col("kind") == _HOT).groupBy("data").agg(F.sum(F.col("sums")[0]).alias("n")).where(F.col("n") > share / 2 * vocabulary.tokens).collect()
     hot: dict[int, list[np.ndarray]] = {}
     for r in often:
         words = np.frombuffer(r["data"], np.uint64)

@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tessella.llm import language_model, registry
@@ -55,3 +56,22 @@ def test_query_learns_longer_contexts(spark, tmp_path):
     assert all(r["perplexity"] == pytest.approx(10 ** (-r["score"] / r["n_tokens"])) for r in found)
     score = {r["doc_id"]: r["score"] for r in found}
     assert score[1000] > score[1001] + 1
+
+
+def test_numbers_of_tokens_in_many_shards(spark, tmp_path):
+    """2,500 shards in three blocks, some empty: every token gets its own number, those with more bits in their count first, then by shard."""
+    pick = np.random.default_rng(2)
+    per = pick.integers(0, 4, (2_500, 64)) * (pick.random((2_500, 64)) < 0.1)
+    per[1_024:1_030] = 0
+    rows = [(k // language_model.FIRSTS, k, [int(x.sum()), *map(int, x)]) for k, x in enumerate(per) if x.any()]
+    totals = spark.createDataFrame(rows, "block int, shard int, sums array<long>")
+    firsts, tokens, kinds = language_model._number(totals, f"{tmp_path}/firsts", 3)
+    assert tokens == kinds == per.sum()
+    at = 1
+    for size in range(63, -1, -1):
+        for k in range(2_500):
+            if per[k, size]:
+                assert firsts.shard(k // language_model.FIRSTS)["first"].reshape(-1, 64)[k % language_model.FIRSTS, size] == at
+                at += per[k, size]
+    empty, *sums = language_model._number(totals.limit(0), f"{tmp_path}/none", 1)
+    assert sums == [0, 0] and empty.shard(0) == {}
