@@ -9,7 +9,7 @@ from ..operators import graph as G
 from ..operators import references as R
 from ..operators.components import connected_components
 from ..session import table
-from .base import inline, query
+from .base import query
 from .metrics import _references
 
 TRADE = """WITH RECURSIVE r AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -114,37 +114,76 @@ def g06_components(spark, sf_dir):
     return connected_components(errors.join(first, "k").select(F.col("u").alias("src"), "dst"))
 
 
-EXPORTS = "('m', 'parse'), ('m', 'validate'), ('m', 'render'), ('m', 'format'), ('n', 'one'), ('n', 'two')"
-BEHAVIOR = "('parse', 'scan'), ('validate', 'scan'), ('render', 'draw'), ('format', 'draw'), ('one', 'core'), ('two', 'mid'), ('mid', 'core')"
-CONSUMERS = "('m', 'parse', 'x'), ('m', 'validate', 'x'), ('m', 'render', 'y'), ('m', 'format', 'y'), ('n', 'one', 'x')"
+#: Orders as exports of their customer: urgent and high ones come together behind their priorities, the others at their own.
+COHORTS = """WITH o AS (SELECT 'c' || o_custkey AS module, 'o' || o_orderkey AS export, o_orderstatus AS consumer, CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 'fast' ELSE o_orderpriority[1] END AS kind FROM orders),
+g AS (SELECT module, kind, min(export) AS cohort, count(*) AS size, list_distinct(list(consumer)) AS used FROM o GROUP BY 1, 2) """
+COHESION = COHORTS + """, p AS (SELECT a.module, avg(CAST(len(list_intersect(a.used, b.used)) AS DOUBLE) / len(list_distinct(list_concat(a.used, b.used)))) AS overlap, sum(a.size * b.size) AS apart
+ FROM g a JOIN g b ON a.module = b.module AND a.cohort < b.cohort GROUP BY 1), w AS (SELECT module, sum(size) AS n, count(*) AS cohorts, min(size) AS smallest FROM g GROUP BY 1),
+c AS (SELECT w.module, CAST(n AS BIGINT) AS exports, cohorts, smallest, round(CAST(coalesce(2 * apart / CAST(nullif(n * (n - 1), 0) AS DOUBLE), 0) AS DOUBLE), 9) AS separated_ratio,
+ round(CAST(CASE WHEN cohorts = 1 THEN 1 ELSE overlap END AS DOUBLE), 9) AS consumer_overlap FROM w LEFT JOIN p USING (module)) """
 
 
-@query("SELECT * FROM (VALUES ('m', 'parse', 'parse'), ('m', 'validate', 'parse'), ('m', 'render', 'format'), ('m', 'format', 'format'), ('n', 'one', 'one'), ('n', 'two', 'one')) AS v(module, export, cohort)")
+def _order_groups(spark, sf_dir):
+    """The cohorts, and who uses each export: the order's status."""
+    orders = table(spark, sf_dir, "orders")
+    module, export = F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("o"), "o_orderkey")
+    first = F.substring("o_orderpriority", 1, 1)
+    reached = orders.select(export.alias("src"), F.concat_ws(":", module, first).alias("dst"))
+    both = orders.where(first.isin("1", "2")).select(F.concat_ws(":", module, first).alias("src"), F.concat_ws(":", module, F.lit("fast")).alias("dst")).distinct()
+    groups = G.separate_groups(orders.select(module.alias("module"), export.alias("export")), reached.unionByName(both))
+    return groups, orders.select(module.alias("module"), export.alias("export"), F.col("o_orderstatus").alias("consumer"))
+
+
+@query(COHORTS + "SELECT o.module, o.export, g.cohort FROM o JOIN g ON o.module = g.module AND o.kind = g.kind")
 def g07_separate_groups(spark, sf_dir):
-    return G.separate_groups(inline(spark, EXPORTS, "module, export"), inline(spark, BEHAVIOR, "src, dst"))
+    return _order_groups(spark, sf_dir)[0]
 
 
-@query("SELECT module, CAST(e AS BIGINT) AS exports, CAST(c AS BIGINT) AS cohorts, CAST(s AS BIGINT) AS smallest, CAST(r AS DOUBLE) AS separated_ratio, CAST(o AS DOUBLE) AS consumer_overlap FROM (VALUES ('m', 4, 2, 2, 0.666666667, 0.0), ('n', 2, 1, 2, 0.0, 1.0)) AS v(module, e, c, s, r, o)")
+@query(COHESION + "SELECT * FROM c")
 def a15_cohesion(spark, sf_dir):
-    groups = G.separate_groups(inline(spark, EXPORTS, "module, export"), inline(spark, BEHAVIOR, "src, dst"))
-    found = G.cohesion(groups, inline(spark, CONSUMERS, "module, export, consumer"))
-    return found.withColumn("separated_ratio", F.round("separated_ratio", 9)).withColumn("consumer_overlap", F.col("consumer_overlap").cast("double"))
+    found = G.cohesion(*_order_groups(spark, sf_dir))
+    return found.withColumn("separated_ratio", F.round("separated_ratio", 9)).withColumn("consumer_overlap", F.round(F.col("consumer_overlap").cast("double"), 9))
 
 
-@query("SELECT 'HL115' AS rule, 'm' AS module")
+@query(COHESION + "SELECT 'HL115' AS rule, module FROM c WHERE cohorts >= 2 AND smallest >= 2 AND exports >= 4 AND separated_ratio >= 0.5 AND consumer_overlap <= 0.2")
 def hl115_low_cohesion(spark, sf_dir):
     found = a15_cohesion(spark, sf_dir).where("cohorts >= 2 and smallest >= 2 and exports >= 4 and separated_ratio >= 0.5 and consumer_overlap <= 0.2")
     return found.select(F.lit("HL115").alias("rule"), "module")
 
 
-@query("SELECT CAST(id AS INTEGER) AS id, target, how FROM (VALUES (1, '', 'crate'), (2, 'net/http', 'self'), (3, 'net', 'super'), (4, 'io', 'alias'), (5, 'net/http/body', 'child'), (6, 'core', 'library')) AS v(id, target, how)")
-def j10_path_resolution(spark, sf_dir):
-    paths = inline(spark, "(1, 'net/http', 'crate'), (2, 'net/http', 'self'), (3, 'net/http', 'super'), (4, 'net/http', 'files'), (5, 'net/http', 'body'), (6, 'net/http', 'core'), (7, 'net/http', 'nowhere')", "id, scope, head")
-    scopes, aliases = inline(spark, "('net'), ('net/http'), ('net/http/body'), ('io')", "scope"), inline(spark, "('net/http', 'files', 'io')", "scope, name, target")
-    return R.resolve_paths(paths, scopes, aliases, inline(spark, "('core', 'core'), ('files', 'files')", "name, target"))
+#: A scope per region, per nation with an overdrawn supplier, and per overdrawn customer.
+SCOPES = """WITH n AS (SELECT n_nationkey, 'r' || n_regionkey AS region, 'r' || n_regionkey || '/n' || n_nationkey AS scope, n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0) AS open FROM nation),
+c AS (SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal < 0 AS open, n.region, n.scope, n.open AS near FROM customer JOIN n ON c_nationkey = n_nationkey) """
 
 
-@query("SELECT CAST(id AS INTEGER) AS id, scope, CAST(d AS INTEGER) AS depth FROM (VALUES (1, 'net', 1), (1, 'net/http', 2), (2, 'io', 1)) AS v(id, scope, d)")
+def _scopes(spark, sf_dir):
+    """Nations with their scopes, customers with theirs, and all scopes there are."""
+    overdrawn = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey"), F.lit(True).alias("open")).distinct()
+    region = F.concat(F.lit("r"), "n_regionkey")
+    nations = table(spark, sf_dir, "nation").join(overdrawn, "n_nationkey", "left").select("n_nationkey", region.alias("region"), F.concat(region, F.lit("/n"), "n_nationkey").alias("scope"), "open")
+    customers = table(spark, sf_dir, "customer").join(nations.select(F.col("n_nationkey").alias("c_nationkey"), "region", "scope"), "c_nationkey")
+    own = F.concat("scope", F.lit("/c"), "c_custkey")
+    scopes = nations.select(F.col("region").alias("scope")).distinct().unionByName(nations.where("open").select("scope")).unionByName(customers.where("c_acctbal < 0").select(own.alias("scope")))
+    return nations, customers, scopes
+
+
+@query(SCOPES + """, h AS (SELECT id, CASE segment WHEN 'BUILDING' THEN '' WHEN 'MACHINERY' THEN scope WHEN 'HOUSEHOLD' THEN region WHEN 'FURNITURE' THEN CASE WHEN open THEN scope || '/c' || id END ELSE CASE WHEN near THEN region ELSE 'std' END END AS target,
+ CASE segment WHEN 'BUILDING' THEN 'crate' WHEN 'MACHINERY' THEN 'self' WHEN 'HOUSEHOLD' THEN 'super' WHEN 'FURNITURE' THEN 'child' ELSE CASE WHEN near THEN 'alias' ELSE 'library' END END AS how FROM c) SELECT * FROM h WHERE target IS NOT NULL""")
+def j10_path_resolution(spark, sf_dir):
+    """A path per customer from its nation's scope, beginning as its segment says."""
+    nations, customers, scopes = _scopes(spark, sf_dir)
+    begins = {"BUILDING": F.lit("crate"), "MACHINERY": F.lit("self"), "HOUSEHOLD": F.lit("super"), "FURNITURE": F.concat(F.lit("c"), "c_custkey")}
+    head = F.concat(F.lit("lib"), "c_nationkey")
+    for segment, begin in begins.items():
+        head = F.when(F.col("c_mktsegment") == segment, begin).otherwise(head)
+    name = F.concat(F.lit("lib"), "n_nationkey").alias("name")
+    aliases, libraries = nations.where("open").select("scope", name, F.col("region").alias("target")), nations.select(name, F.lit("std").alias("target"))
+    return R.resolve_paths(customers.select(F.col("c_custkey").alias("id"), "scope", head.alias("head")), scopes, aliases, libraries)
+
+
+@query(SCOPES + "SELECT id, region AS scope, 1 AS depth FROM c UNION ALL SELECT id, scope, 2 FROM c WHERE near UNION ALL SELECT id, scope || '/c' || id, 3 FROM c WHERE open")
 def j11_path_hops(spark, sf_dir):
-    paths = inline(spark, "(1, array('net', 'http', 'Request')), (2, array('io', 'Reader')), (3, array('std', 'fmt'))", "id, segments")
-    return R.path_hops(paths, inline(spark, "('net'), ('net/http'), ('io')", "scope"))
+    """A path of four segments per customer."""
+    _, customers, scopes = _scopes(spark, sf_dir)
+    segments = F.concat(F.split("scope", "/"), F.array(F.concat(F.lit("c"), "c_custkey"), F.lit("all")))
+    return R.path_hops(customers.select(F.col("c_custkey").alias("id"), segments.alias("segments")), scopes)

@@ -61,14 +61,16 @@ def hl109_single_declaration(spark, sf_dir):
     return R.single_declarations(R.file_metrics(lines)[0], entries).select(F.lit("HL109").alias("rule"), "module", "file")
 
 
-PATHS = "('src/a.css'), ('src/b.ts'), ('node_modules/q/c.css'), ('dist/d.css'), ('styles/E.css'), ('styles/f.css.ts')"
-
-
-@query("SELECT 'HL110' AS rule, file FROM (VALUES ('src/a.css'), ('styles/E.css')) AS v(file)")
+@query("""WITH f AS (SELECT CASE WHEN p_size <= 10 THEN 'node_modules/' WHEN p_size <= 20 THEN 'dist/' ELSE 'src/' END || p_brand || '/p' || p_partkey || CASE WHEN p_retailprice < 930 THEN '.css' WHEN p_retailprice < 960 THEN '.css.ts' ELSE '.ts' END AS file FROM part)
+SELECT 'HL110' AS rule, file FROM f WHERE file LIKE 'src/%.css'""")
 def hl110_css_files(spark, sf_dir):
+    """A file per part: its size tells the folder, its price the ending."""
     from ..functions.paths import css_files
 
-    return css_files(inline(spark, PATHS, "file")).select(F.lit("HL110").alias("rule"), "file")
+    folder = F.when(F.col("p_size") <= 10, "node_modules/").when(F.col("p_size") <= 20, "dist/").otherwise("src/")
+    ending = F.when(F.col("p_retailprice") < 930, ".css").when(F.col("p_retailprice") < 960, ".css.ts").otherwise(".ts")
+    files = table(spark, sf_dir, "part").select(F.concat(folder, "p_brand", F.lit("/p"), "p_partkey", ending).alias("file"))
+    return css_files(files).select(F.lit("HL110").alias("rule"), "file")
 
 
 STYLES = r"""WITH s AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, sha256(unnest(regexp_extract_all(html, '(?is)<style\b[^>]*>'))) AS signature, starts_with(url, 'https') AS known FROM pages),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import metrics as M
 from ..session import table
-from .base import inline, query
+from .base import query
 
 
 @query(r"""WITH m AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)(<(?:script|textarea|title|style)\b[^>]*>).*?(</(?:script|textarea|title|style))', '\1\2', 'g') AS html FROM pages)
@@ -30,20 +30,28 @@ def t10_page_links(spark, sf_dir):
     return found.groupBy("target").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-SHEETS = """('a.css', 'a { color: RED; background: #FFF url(blue.png) }'), ('b.css', 'b { color: transparent; border-color: currentcolor }'),
-('c.css', 'c { color: rgb(1, 2, 3); fill: #12345 } .red-box { }'), ('d.css', 'd::after { content: "red" } e { color: red }')"""
+SHEETS = """WITH s AS (SELECT 'b' || p_brand[7:] || '/p' || p_partkey || '.css' AS file, CASE WHEN p_size > 40 THEN [] WHEN p_size > 30 THEN ['#fff'] WHEN p_size > 15 THEN ['rgb(' || p_size || ', 2, 3)'] ELSE ['red'] END AS first,
+ CASE WHEN p_retailprice > 950 THEN [] ELSE ['#' || format('{:06x}', CAST(p_partkey % 16777216 AS BIGINT))] END AS second FROM part), c AS (SELECT file, array_to_string(list_sort(list_concat(first, second)), ',') AS colors, len(first) + len(second) AS n FROM s) """
 
 
-@query("SELECT * FROM (VALUES ('a.css', '#fff,red'), ('b.css', ''), ('c.css', 'rgb(1, 2, 3)'), ('d.css', 'red')) AS v(file, colors)")
+def _sheets(spark, sf_dir):
+    """file, text: a sheet per part, whose size and price tell its colours; names of colours also stand in strings, urls and selectors."""
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    color = F.when(size > 40, "transparent").when(size > 30, "#FFF").when(size > 15, F.concat(F.lit("rgb("), size, F.lit(", 2, 3)"))).otherwise("RED")
+    back = F.when(price > 950, "currentcolor; fill: #12345").otherwise(F.concat(F.lit("#"), F.lpad(F.hex(F.col("p_partkey").cast("long") % 16777216), 6, "0")))
+    text = F.concat(F.lit("a { color: "), color, F.lit("; background: "), back, F.lit(' url(blue.png) } .red-box { }\nb::after { content: "red" }\n'))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("b"), F.substring("p_brand", 7, 9), F.lit("/p"), "p_partkey", F.lit(".css")).alias("file"), text.alias("text"))
+
+
+@query(SHEETS + "SELECT file, colors FROM c")
 def t03_css_colors(spark, sf_dir):
-    rows = inline(spark, SHEETS, "file, text")
-    return rows.select("file", F.array_join(X.css_colors(F.col("text")), ",").alias("colors"))
+    return _sheets(spark, sf_dir).select("file", F.array_join(X.css_colors(F.col("text")), ",").alias("colors"))
 
 
-@query("SELECT 'HL118' AS rule, file, CAST(3 AS BIGINT) AS score, colors FROM (VALUES ('a.css', '#fff,red'), ('c.css', 'rgb(1, 2, 3)'), ('d.css', 'red')) AS v(file, colors)")
+@query(SHEETS + "SELECT 'HL118' AS rule, file, (SELECT count(*) FROM c WHERE n > 0) AS score, colors FROM c WHERE n > 0")
 def hl118_color_files(spark, sf_dir):
     """Every file with a colour, where there are more such files than a limit of one."""
-    rows = inline(spark, SHEETS, "file, text").select("file", X.css_colors(F.col("text")).alias("colors"))
+    rows = _sheets(spark, sf_dir).select("file", X.css_colors(F.col("text")).alias("colors"))
     return M.color_files(rows, ["."], 1).select(F.lit("HL118").alias("rule"), "file", "score", F.array_join("colors", ",").alias("colors"))
 
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import paths as P
 from tessella.functions import text as X
+from tessella.operators import graph as G
+from tessella.operators import metrics as M
 from tessella.operators import references as R
 from tessella.sources import files as S
 
@@ -44,3 +46,45 @@ def test_rust_surface(spark):
     names = spark.createDataFrame([("a", "f"), ("a", "g"), ("b", "h")], "module string, name string")
     refs = spark.createDataFrame([("c", "a", "f", False), ("b", "a", "", True), ("c", "a", "f", False), ("b", "b", "h", False)], "consumer string, module string, name string, wildcard boolean")
     assert {tuple(r) for r in R.rust_surface(names, refs).collect()} == {("a", "f", 2), ("a", "g", 1), ("b", "h", 0)}
+
+
+def test_colours_and_sheets(spark):
+    sheets = {
+        "a.css": ("a { color: RED; background: #FFF url(blue.png) }", ["#fff", "red"]), "b.css": ("b { color: transparent; border-color: currentcolor }", []),
+        "c.css": ("c { color: rgb(1, 2, 3); fill: #12345 } .red-box { }", ["rgb(1, 2, 3)"]), "d.css": ('d::after { content: "red" } e { color: red }', ["red"]),
+    }
+    rows = spark.createDataFrame([(f, t) for f, (t, _) in sheets.items()], "file string, text string").select("file", X.css_colors(F.col("text")).alias("colors"))
+    assert {r["file"]: r["colors"] for r in rows.collect()} == {f: c for f, (_, c) in sheets.items()}
+    assert {(r["file"], r["score"]) for r in M.color_files(rows, ["."], 1).collect()} == {("a.css", 3), ("c.css", 3), ("d.css", 3)} and M.color_files(rows, ["."], 3).count() == 0
+    files = spark.createDataFrame([(x,) for x in ("src/a.css", "src/b.ts", "node_modules/q/c.css", "dist/d.css", "styles/E.css", "styles/f.css.ts")], "file string")
+    assert [r["file"] for r in P.css_files(files).collect()] == ["src/a.css", "styles/E.css"]
+
+
+def test_manifests_and_crates(spark):
+    manifests = spark.createDataFrame([("", '[package]\nname = "core"\n\n[lib]\npath = "src/core.rs"\n'), ("tools", "[package]\nname = 'tools'\n"), ("none", "[workspace]\nmembers = []\n")], "directory string, text string")
+    files = spark.createDataFrame([(x,) for x in ("src/core.rs", "src/main.rs", "src/util.rs", "tests/one.rs", "tools/src/bin/run.rs", "tools/build.rs")], "file string")
+    want = {("core", "lib", "src/core.rs"), ("core", "bin", "src/main.rs"), ("core", "test", "tests/one.rs"), ("tools", "bin", "tools/src/bin/run.rs"), ("tools", "build", "tools/build.rs")}
+    assert {tuple(r) for r in S.crates(manifests, files).select("crate", "kind", "root").collect()} == want
+
+
+def test_rust_paths(spark):
+    heads = ["crate", "self", "super", "files", "body", "core", "nowhere"]
+    paths = spark.createDataFrame([(i, "net/http", h) for i, h in enumerate(heads, 1)], "id int, scope string, head string")
+    scopes = spark.createDataFrame([("net",), ("net/http",), ("net/http/body",), ("io",)], "scope string")
+    aliases, libraries = spark.createDataFrame([("net/http", "files", "io")], "scope string, name string, target string"), spark.createDataFrame([("core", "core"), ("files", "files")], "name string, target string")
+    want = {(1, "", "crate"), (2, "net/http", "self"), (3, "net", "super"), (4, "io", "alias"), (5, "net/http/body", "child"), (6, "core", "library")}
+    assert {tuple(r) for r in R.resolve_paths(paths, scopes, aliases, libraries).collect()} == want
+    hops = spark.createDataFrame([(1, ["net", "http", "Request"]), (2, ["io", "Reader"]), (3, ["std", "fmt"])], "id int, segments array<string>")
+    assert {tuple(r) for r in R.path_hops(hops, scopes).collect()} == {(1, "net", 1), (1, "net/http", 2), (2, "io", 1)}
+
+
+def test_separate_groups(spark):
+    exports = spark.createDataFrame([("m", "parse"), ("m", "validate"), ("m", "render"), ("m", "format"), ("n", "one"), ("n", "two")], "module string, export string")
+    # One of n's exports reaches the other's only behind a chain that is longer than the rounds that are kept apart.
+    chain = ["two", *(f"mid{i}" for i in range(20)), "core"]
+    edges = spark.createDataFrame([("parse", "scan"), ("validate", "scan"), ("render", "draw"), ("format", "draw"), ("one", "core"), *zip(chain, chain[1:])], "src string, dst string")
+    groups = G.separate_groups(exports, edges)
+    assert {tuple(r) for r in groups.collect()} == {("m", "parse", "parse"), ("m", "validate", "parse"), ("m", "render", "format"), ("m", "format", "format"), ("n", "one", "one"), ("n", "two", "one")}
+    consumers = spark.createDataFrame([("m", "parse", "x"), ("m", "validate", "x"), ("m", "render", "y"), ("m", "format", "y"), ("n", "one", "x")], "module string, export string, consumer string")
+    found = {r["module"]: (r["exports"], r["cohorts"], r["smallest"], round(r["separated_ratio"], 9), float(r["consumer_overlap"])) for r in G.cohesion(groups, consumers).collect()}
+    assert found == {"m": (4, 2, 2, 0.666666667, 0.0), "n": (2, 1, 2, 0.0, 1.0)}
