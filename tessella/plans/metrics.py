@@ -9,7 +9,7 @@ from ..functions.text import nonblank_lines, plural, rounded_percent
 from ..operators import history as H
 from ..operators import metrics as M
 from ..session import table
-from .base import inline, query
+from .base import query
 
 SCORES = """SELECT CAST(user_id AS VARCHAR) AS module, CAST(sum(CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 END) AS BIGINT) AS score
 FROM events WHERE event_type IN ('error', 'purchase', 'click') GROUP BY 1 HAVING score >= {}"""
@@ -244,35 +244,51 @@ def j06_cochange_baskets(spark, sf_dir):
     return pairs.select("a", "b", "n", "edits_a", "edits_b", "shared", *[F.round(c, 9).alias(c) for c in ("rate_a", "rate_b", "lift")])
 
 
-#: Five commits of a and b together, then 25 of c; a later history with a rename, an addition, a mode change and a large commit.
-COMMITS = ", ".join([f"('r1', {i})" for i in range(30)] + [f"('r2', {i})" for i in range(8)])
-CHANGES = ", ".join(
-    [f"('r1', {i}, '{f}', cast(null as string), 'M', true)" for i in range(5) for f in "ab"]
-    + [f"('r1', {i}, 'c', cast(null as string), 'M', true)" for i in range(5, 30)]
-    + ["('r2', 0, 'a', 'old', 'R', true)", "('r2', 0, 'b', cast(null as string), 'M', true)", "('r2', 1, 'old', cast(null as string), 'M', true)", "('r2', 1, 'b', cast(null as string), 'M', true)"]
-    + ["('r2', 2, 'c', cast(null as string), 'M', false)", "('r2', 3, 'b', cast(null as string), 'A', true)", "('r2', 4, 'b', cast(null as string), 'M', true)", "('r2', 4, 'old', cast(null as string), 'M', true)"]
-    + [f"('r2', 5, 'x{i}', cast(null as string), 'M', true)" for i in range(4)] + ["('r2', 5, 'old', cast(null as string), 'M', true)", "('r2', 6, 'c', cast(null as string), 'D', true)", "('r2', 7, 'c', cast(null as string), 'M', true)"]
-)
-FILES = "('r1', 'a'), ('r1', 'b'), ('r1', 'c'), ('r2', 'a'), ('r2', 'b'), ('r2', 'c')"
+#: A history per nation: a day is a commit, a brand has two files. Each file was added in its oldest commit and renamed halfway.
+HISTORY = """WITH d AS (SELECT c_nationkey, max(o_orderdate) AS last FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+l AS (SELECT 'n' || c_nationkey AS repo, CAST(date_diff('day', o_orderdate, last) AS INTEGER) AS seq, p_brand, l_quantity FROM orders JOIN customer ON o_custkey = c_custkey JOIN d USING (c_nationkey) JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+t AS (SELECT repo, seq, p_brand || '/main' AS file FROM l UNION SELECT repo, seq, p_brand || '/notes' FROM l WHERE l_quantity > 5), e AS (SELECT repo, seq FROM t GROUP BY 1, 2 HAVING count(*) <= 12), b AS (SELECT repo, file, max(seq) AS born FROM t GROUP BY 1, 2),
+v AS (SELECT e.repo, e.seq, b.file, t.seq IS NOT NULL AS edited FROM e JOIN b ON e.repo = b.repo AND e.seq <= b.born LEFT JOIN t ON t.repo = e.repo AND t.seq = e.seq AND t.file = b.file) """
 
 
-def _observed(spark):
-    return H.observations(inline(spark, COMMITS, "repo, seq"), inline(spark, CHANGES, "repo, seq, path, previous_path, kind, content_changed"), inline(spark, FILES, "repo, path"), 4)
-
-
-@query("""SELECT * FROM (SELECT 'r1' AS repo, CAST(s AS INTEGER) AS seq, f AS file, ((s < 5) = (f <> 'c')) AS edited FROM range(30) AS t(s), (VALUES ('a'), ('b'), ('c')) AS v(f)
-UNION ALL SELECT * FROM (VALUES ('r2', 0, 'a', true), ('r2', 0, 'b', true), ('r2', 0, 'c', false), ('r2', 1, 'a', true), ('r2', 1, 'b', true), ('r2', 1, 'c', false),
-('r2', 3, 'a', false), ('r2', 3, 'b', true), ('r2', 3, 'c', false), ('r2', 4, 'a', true), ('r2', 4, 'c', false), ('r2', 7, 'a', false), ('r2', 7, 'c', true)) AS x(repo, seq, file, edited))""")
+def _observed(spark, sf_dir):
+    """The observations of commits of at most 12 files."""
+    t = lambda name: table(spark, sf_dir, name)
+    placed = t("orders").select("o_orderkey", "o_orderdate", F.col("o_custkey").alias("c_custkey")).join(t("customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    dated = placed.join(placed.groupBy("c_nationkey").agg(F.max("o_orderdate").alias("last")), "c_nationkey").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("n"), "c_nationkey").alias("repo"), F.datediff("last", "o_orderdate").alias("seq"))
+    lines = dated.join(t("lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), "l_quantity"), "l_orderkey").join(t("part").select("p_partkey", "p_brand"), "p_partkey")
+    both = F.array(F.concat("p_brand", F.lit("/main")), F.when(F.col("l_quantity") > 5, F.concat("p_brand", F.lit("/notes"))))
+    touched = lines.select("repo", "seq", F.explode(both).alias("file")).where("file is not null").distinct()
+    born = touched.groupBy("repo", "file").agg(F.max("seq").alias("born"))
+    moved = touched.join(born, ["repo", "file"]).where("2 * seq >= born and seq < born").groupBy("repo", "file").agg(F.min("seq").alias("moved"))
+    known = touched.join(born.join(moved, ["repo", "file"], "left"), ["repo", "file"])
+    kind = F.when(F.col("seq") == F.col("born"), "A").when(F.col("seq") == F.col("moved"), "R").otherwise("M")
+    old = F.concat(F.lit("old/"), "file")
+    path, before = F.when(F.col("seq") > F.col("moved"), old).otherwise(F.col("file")), F.when(kind == "R", old)
+    changes = known.select("repo", "seq", path.alias("path"), before.alias("previous_path"), kind.alias("kind"), F.lit(True).alias("content_changed"))
+    return H.observations(dated.select("repo", "seq").distinct(), changes, born.select("repo", F.col("file").alias("path")), 12), born
+
+
+@query(HISTORY + "SELECT * FROM v")
 def j18_observations(spark, sf_dir):
-    return _observed(spark)
+    return _observed(spark, sf_dir)[0]
 
 
-@query("SELECT 'r1' AS repo, 'a' AS a, 'b' AS b, CAST(30 AS BIGINT) AS n, CAST(5 AS BIGINT) AS edits_a, CAST(5 AS BIGINT) AS edits_b, CAST(5 AS BIGINT) AS shared, 1.0::DOUBLE AS rate_a, 1.0::DOUBLE AS rate_b, 6.0::DOUBLE AS lift, 'left-to-right' AS dependency, 0 AS newest, 'HL119' AS rule")
+@query(HISTORY + """, x AS (SELECT repo, a.file AS a, b.file AS b, count(*) AS n, count(*) FILTER (a.edited) AS edits_a, count(*) FILTER (b.edited) AS edits_b, count(*) FILTER (a.edited AND b.edited) AS shared,
+ array_to_string(list_slice(list_sort(list(seq) FILTER (a.edited AND b.edited)), 1, 5), ',') AS newest FROM v a JOIN v b USING (repo, seq) WHERE a.file < b.file GROUP BY 1, 2, 3),
+y AS (SELECT *, shared / edits_a AS rate_a, shared / edits_b AS rate_b, shared * n / (edits_a * edits_b) AS lift FROM x WHERE shared > 0), z AS (SELECT p_brand, max(p_retailprice) > 999 AS ab, min(p_retailprice) < 902 AS ba FROM part GROUP BY 1)
+SELECT repo, a, b, n, edits_a, edits_b, shared, round(rate_a, 9) AS rate_a, round(rate_b, 9) AS rate_b, round(lift, 9) AS lift, CASE WHEN NOT coalesce(replace(a, '/main', '') = replace(b, '/notes', ''), false) THEN 'none' WHEN ab AND ba THEN 'both' WHEN ab THEN 'left-to-right' WHEN ba THEN 'right-to-left' ELSE 'none' END AS dependency, newest, 'HL119' AS rule
+FROM y LEFT JOIN z ON a = p_brand || '/main' WHERE n >= 30 AND shared >= 5 AND rate_a >= 0.8 AND rate_b >= 0.8 AND lift >= 2""")
 def hl119_cochange(spark, sf_dir):
-    modules = inline(spark, FILES, "repo, file").withColumn("module", F.col("file"))
-    pairs = H.qualifying(H.co_change(_observed(spark), modules))
-    named = H.direction(pairs, inline(spark, "('a', 'b')", "src, dst"))
-    return named.select("repo", "a", "b", "n", "edits_a", "edits_b", "shared", "rate_a", "rate_b", "lift", "dependency", F.get("commits", F.lit(0)).alias("newest"), F.lit("HL119").alias("rule"))
+    """Files of one history that change together; the brand's dearest and cheapest part tell which of its files depends on which."""
+    alive, files = _observed(spark, sf_dir)
+    pairs = H.qualifying(H.co_change(alive, files.select("repo", "file", F.col("file").alias("module"))))
+    prices = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max("p_retailprice").alias("most"), F.min("p_retailprice").alias("least"))
+    main, notes = F.concat("p_brand", F.lit("/main")), F.concat("p_brand", F.lit("/notes"))
+    uses = prices.where("most > 999").select(main.alias("src"), notes.alias("dst")).unionByName(prices.where("least < 902").select(notes.alias("src"), main.alias("dst")))
+    named = H.direction(pairs, uses)
+    rounded = [F.round(c, 9).alias(c) for c in ("rate_a", "rate_b", "lift")]
+    return named.select("repo", "a", "b", "n", "edits_a", "edits_b", "shared", *rounded, "dependency", F.array_join(F.col("commits").cast("array<string>"), ",").alias("newest"), F.lit("HL119").alias("rule"))
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS module, CAST(floor(count(*) FILTER (WHERE event_type = 'click') / count(*) * 100 + 0.5) AS BIGINT) AS percent FROM events GROUP BY 1""")
