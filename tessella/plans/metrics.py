@@ -8,6 +8,7 @@ from ..config import Coupling
 from ..functions.text import nonblank_lines, plural, rounded_percent
 from ..operators import history as H
 from ..operators import metrics as M
+from ..scratch import staged
 from ..session import table
 from .base import query
 
@@ -258,15 +259,16 @@ def _observed(spark, sf_dir):
     dated = placed.join(placed.groupBy("c_nationkey").agg(F.max("o_orderdate").alias("last")), "c_nationkey").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("n"), "c_nationkey").alias("repo"), F.datediff("last", "o_orderdate").alias("seq"))
     lines = dated.join(t("lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), "l_quantity"), "l_orderkey").join(t("part").select("p_partkey", "p_brand"), "p_partkey")
     both = F.array(F.concat("p_brand", F.lit("/main")), F.when(F.col("l_quantity") > 5, F.concat("p_brand", F.lit("/notes"))))
-    touched = lines.select("repo", "seq", F.explode(both).alias("file")).where("file is not null").distinct()
-    born = touched.groupBy("repo", "file").agg(F.max("seq").alias("born"))
+    # The walk reads the history many times: it is written once, as a source would be.
+    touched = staged(lines.select("repo", "seq", F.explode(both).alias("file")).where("file is not null").distinct(), "history-touched")
+    born = staged(touched.groupBy("repo", "file").agg(F.max("seq").alias("born")), "history-born")
     moved = touched.join(born, ["repo", "file"]).where("2 * seq >= born and seq < born").groupBy("repo", "file").agg(F.min("seq").alias("moved"))
     known = touched.join(born.join(moved, ["repo", "file"], "left"), ["repo", "file"])
     kind = F.when(F.col("seq") == F.col("born"), "A").when(F.col("seq") == F.col("moved"), "R").otherwise("M")
     old = F.concat(F.lit("old/"), "file")
     path, before = F.when(F.col("seq") > F.col("moved"), old).otherwise(F.col("file")), F.when(kind == "R", old)
-    changes = known.select("repo", "seq", path.alias("path"), before.alias("previous_path"), kind.alias("kind"), F.lit(True).alias("content_changed"))
-    return H.observations(dated.select("repo", "seq").distinct(), changes, born.select("repo", F.col("file").alias("path")), 12), born
+    changes = staged(known.select("repo", "seq", path.alias("path"), before.alias("previous_path"), kind.alias("kind"), F.lit(True).alias("content_changed")), "history-changes")
+    return H.observations(touched.select("repo", "seq").distinct(), changes, born.select("repo", F.col("file").alias("path")), 12), born
 
 
 @query(HISTORY + "SELECT * FROM v")
@@ -282,6 +284,7 @@ FROM y LEFT JOIN z ON a = p_brand || '/main' WHERE n >= 30 AND shared >= 5 AND r
 def hl119_cochange(spark, sf_dir):
     """Files of one history that change together; the brand's dearest and cheapest part tell which of its files depends on which."""
     alive, files = _observed(spark, sf_dir)
+    alive = staged(alive, "history-alive")
     pairs = H.qualifying(H.co_change(alive, files.select("repo", "file", F.col("file").alias("module"))))
     prices = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max("p_retailprice").alias("most"), F.min("p_retailprice").alias("least"))
     main, notes = F.concat("p_brand", F.lit("/main")), F.concat("p_brand", F.lit("/notes"))
