@@ -1,4 +1,4 @@
-"""The library's own operators: registered queries on fixed inputs against their SQL, and cases that need no table."""
+"""The library's own operators: registered queries on the smallest tables against their SQL, and cases that need no table."""
 
 import duckdb
 import pytest
@@ -7,11 +7,11 @@ from tessella import catalog, config
 from tessella.operators.components import connected_components
 from tessella.sources import git
 
-FIXED = "t03_css_colors hl118_color_files s06_manifest_strings s05_crates g07_separate_groups j10_path_resolution j11_path_hops".split()
-#: Over source trees that Spark writes from the smallest tables.
+#: Over source trees and the like that Spark writes from the smallest tables.
 WRITTEN = (
     "s18_instruction_lines hl112_instruction_limit t04_meaningful_lines p01_file_kinds s08_rust_facts t05_use_leaves s01_script_facts hl104_exact_clones hl105_near_clones m05_tree_similarity t01_inline_styles "
-    "t06_path_chains a03_rust_references x02_private_exports hl103_coupling hl108_bypassing_imports t07_semantic_functions"
+    "t06_path_chains a03_rust_references x02_private_exports hl103_coupling hl108_bypassing_imports t07_semantic_functions "
+    "t03_css_colors hl118_color_files hl110_css_files s06_manifest_strings s05_crates g07_separate_groups a15_cohesion hl115_low_cohesion j10_path_resolution j11_path_hops"
 ).split()
 TABLES = "region nation customer supplier part orders lineitem documents pages".split()
 SMALLEST = "/root/testdata/sf0.001"
@@ -23,11 +23,6 @@ def same(got, want):
     assert sorted(map(repr, got.select(*columns).toPandas().itertuples(index=False, name=None))) == sorted(map(repr, want.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall()))
 
 
-@pytest.mark.parametrize("name", FIXED)
-def test_fixed_inputs(spark, name):
-    same(catalog.queries()[name](spark, ""), duckdb.sql(catalog.oracle_sql()[name]))
-
-
 @pytest.mark.parametrize("name", WRITTEN)
 def test_written_sources(spark, name):
     con = duckdb.connect()
