@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rust import scope_facts
+from ..functions.rust import item_pieces, scope_facts
 from ..scratch import staged
 
 _SCOPES = pa.list_(pa.struct([
@@ -23,13 +23,15 @@ SCOPES = (
 
 def rust_scopes(texts: DataFrame) -> DataFrame:
     """file, scope, items, modules, uses, paths of texts(file, text): a row for the file and for each module written out in it. `scope` holds
-    the names of such modules, none for the file itself. A null text is an empty one."""
+    the names of such modules, none for the file itself. A null text is an empty one.
+
+    A source may be many rows, each with whole items, and a long text is read in pieces: then a scope has a row for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64).to_pydict()
-                yield pa.RecordBatch.from_arrays([pa.array(part["file"], pa.string()), pa.array([scope_facts(x) for x in part["text"]], _SCOPES)], names=["file", "scopes"])
+            for file, text in zip(batch.column(0), batch.column(1)):
+                for piece in item_pieces(text.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()], pa.string()), pa.array([scope_facts(piece)], _SCOPES)], names=["file", "scopes"])
 
     return texts.select("file", "text").mapInArrow(run, SCOPES).select("file", F.explode("scopes").alias("s")).select("file", "s.*")
 
@@ -37,7 +39,7 @@ def rust_scopes(texts: DataFrame) -> DataFrame:
 def scope_table(scopes: DataFrame, files: DataFrame) -> DataFrame:
     """The rows of `rust_scopes` with `crate` and `place`: the slashed path of the scope, the crate's name first.
 
-    files(file, crate, place): where each file stands in its crate, as the module tree has it."""
+    files(file, crate, place): where each file stands in its crate, as the module tree has it; a file is there once."""
     inner = F.when(F.size("scope") > 0, F.concat(F.lit("/"), F.array_join("scope", "/"))).otherwise(F.lit(""))
     return scopes.join(files, "file").withColumn("place", F.concat("place", inner))
 
