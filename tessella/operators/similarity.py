@@ -120,10 +120,37 @@ def valid_vector(v: Column, size: int) -> Column:
     return F.coalesce((F.size(v) == size) & fine & (norm(v) > 0), F.lit(False))
 
 
+#: Vectors of a block that meets another one: with 64 numbers each 256 KB.
+BLOCK = 500
+
+
 def cross_distances(rows: DataFrame, module: str, cluster: str, vector: str) -> DataFrame:
-    """module, a, b, distance: the smallest cosine distance between two clusters of a module."""
-    a, b = (rows.select(F.col(module).alias("module"), F.col(cluster).alias(x), F.col(vector).alias(f"v{x}")) for x in "ab")
-    return a.join(b, "module").where("a < b").groupBy("module", "a", "b").agg(F.min(cosine_distance(F.col("va"), F.col("vb"))).alias("distance"))
+    """module, a, b, distance: the smallest cosine distance between two clusters of a module.
+
+    All pairs count, so the work grows with the square of a module; vectors of one cluster are dealt to blocks of about `BLOCK`, two blocks
+    of a module meet in a task as matrices, and only their smallest distance leaves it. Vectors without a finite length are near to none, and
+    copies as near as their first."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (module, cluster)}
+    length = norm(F.col(vector))
+    fine = F.col(cluster).isNotNull() & F.col(module).isNotNull() & (length > 0) & (length < float("inf"))
+    told = rows.where(fine).select(F.col(module).alias("module"), F.col(cluster).alias("c"), F.col(vector).alias("v")).distinct()
+    sizes = told.groupBy("module", "c").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / BLOCK)
+    dealt = told.join(sizes, ["module", "c"]).withColumn("block", F.pmod(F.xxhash64("v"), parts))
+    blocks = staged(dealt.groupBy("module", "c", "block").agg(F.collect_list("v").alias("v")), "vector-blocks")
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                a, b = (np.stack(x).astype(float) for x in (row.va, row.vb))
+                a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+                yield pd.DataFrame({"module": [row.module], "a": [row.a], "b": [row.b], "distance": [float(np.clip(1 - (a @ b.T).max(), 0, 2))]})
+
+    # Numbers of blocks meet first, so that a module's pairs are in as many tasks as it has blocks.
+    a, b = (blocks.select("module", F.col("c").alias(x), F.col("block").alias(f"n{x}")) for x in "ab")
+    of = lambda x: blocks.select("module", F.col("c").alias(x), F.col("block").alias(f"n{x}"), F.col("v").alias(f"v{x}"))
+    meet = a.join(b, "module").where("a < b").join(of("a"), ["module", "a", "na"]).join(of("b"), ["module", "b", "nb"])
+    return meet.select("module", "a", "b", "va", "vb").mapInPandas(run, f"module {kinds[module]}, a {kinds[cluster]}, b {kinds[cluster]}, distance double").groupBy("module", "a", "b").agg(F.min("distance").alias("distance"))
 
 
 def separation(rows: DataFrame, distances: DataFrame, module: str, cluster: str, minimum: int = 8, threshold: float = 0.8) -> DataFrame:
@@ -296,17 +323,22 @@ def deflate(rows: DataFrame, vector: str, basis: dict) -> DataFrame:
 
 
 def density(points: DataFrame, x: str, y: str, grid: DataFrame, bandwidth: float) -> DataFrame:
-    """gx, gy, density: Gaussian kernels summed at the grid's nodes; a point reaches the nodes within four bandwidths, found by cells."""
+    """gx, gy, density: Gaussian kernels summed at the grid's nodes; a point reaches the nodes within four bandwidths, found by cells.
+
+    Equal points are counted before they meet the grid; a node stands in its cell and those around it, so that points aren't multiplied. Cells
+    are dealt to 64 parts, and each part sums its own points first."""
     cell = max(bandwidth, 1e-6) * 4
     at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    near = [-1, 0, 1]
-    p = points.select(F.col(x).alias("px"), F.col(y).alias("py"), at(x).alias("cx"), at(y).alias("cy"))
-    p = p.withColumn("cx", F.explode(F.array(*[F.col("cx") + d for d in near]))).withColumn("cy", F.explode(F.array(*[F.col("cy") + d for d in near])))
-    g = grid.withColumns({"cx": at("gx"), "cy": at("gy")})
+    around = lambda c: F.explode(F.array(*[at(c) + d for d in (-1, 0, 1)]))
+    p = points.groupBy(F.col(x).alias("px"), F.col(y).alias("py")).agg(F.count("*").alias("n"))
+    p = p.select("px", "py", "n", at("px").alias("cx"), at("py").alias("cy"), F.pmod(F.xxhash64("px", "py"), F.lit(64)).alias("deal"))
+    nodes = grid.select("gx", "gy").distinct()
+    g = nodes.withColumn("cx", around("gx")).withColumn("cy", around("gy")).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
     square = F.pow(F.col("px") - F.col("gx"), 2) + F.pow(F.col("py") - F.col("gy"), 2)
     n = points.count()
     kernel = F.exp(-square / (2 * bandwidth**2)) / (2 * np.pi * bandwidth**2 * max(n, 1))
-    return g.join(p, ["cx", "cy"], "left").groupBy("gx", "gy").agg(F.coalesce(F.sum(kernel), F.lit(0.0)).alias("density"))
+    sums = g.join(p, ["cx", "cy", "deal"]).groupBy("gx", "gy").agg(F.sum(kernel * F.col("n")).alias("density"))
+    return nodes.join(sums, ["gx", "gy"], "left").select("gx", "gy", F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 def unique_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
