@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rust import item_pieces, scope_facts
+from ..functions.rust import PIECE, item_pieces, scope_facts
 from ..scratch import staged
 
 _SCOPES = pa.list_(pa.struct([
@@ -29,9 +29,17 @@ def rust_scopes(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            files, told, size = [], [], 0
             for file, text in zip(batch.column(0), batch.column(1)):
                 for piece in item_pieces(text.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()], pa.string()), pa.array([scope_facts(piece)], _SCOPES)], names=["file", "scopes"])
+                    files.append(file.as_py())
+                    told.append(scope_facts(piece))
+                    size += len(piece)
+                    if size >= PIECE:
+                        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(told, _SCOPES)], names=["file", "scopes"])
+                        files, told, size = [], [], 0
+            if files:
+                yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(told, _SCOPES)], names=["file", "scopes"])
 
     return texts.select("file", "text").mapInArrow(run, SCOPES).select("file", F.explode("scopes").alias("s")).select("file", "s.*")
 

@@ -38,3 +38,12 @@ def test_no_row_holds_a_whole_nation(spark, tmp_path):
     assert crates.agg(F.max(F.length("text"))).first()[0] < 700_000
     found = U.rust_scopes(crates).groupBy("file").agg(F.sum(F.size("items")).alias("items"), F.sum(F.size("paths")).alias("paths"), F.sum(F.size("uses")).alias("uses"))
     assert {r["file"]: tuple(r)[1:] for r in found.collect()} == {"r0/src/lib.rs": (2, 0, 0), "r0/src/n0.rs": (1, 0, 0), "r0/src/n1.rs": (n + 1, n // 2, 1)}
+
+
+def test_a_row_holds_one_item(spark):
+    """A batch of 4,096 rows is read at once: rows of 5,000 keys made it grow with the table. What is found in the items is what is found in the whole text."""
+    rows = [r["text"] for r in trade_crates(spark, "/root/testdata/sf0.001").where("file like '%/n%.rs'").select("text").collect()]
+    assert max(t.count("fn supply") + t.count("fn customer") for t in rows) == 1
+    whole, parts = scope_facts("".join(rows)), [x for t in rows for x in scope_facts(t)]
+    for key in ("items", "modules", "uses", "paths"):
+        assert sorted(repr(y) for x in parts for y in x[key]) == sorted(repr(y) for x in whole for y in x[key])
