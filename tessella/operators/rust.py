@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rust import PIECE, item_pieces, scope_facts
-from ..scratch import staged
+from ..scratch import broadcast_if_small, staged
 
 _SCOPES = pa.list_(pa.struct([
     ("scope", pa.list_(pa.string())), ("items", pa.list_(pa.struct([("name", pa.string()), ("public", pa.bool_()), ("declared", pa.bool_())]))), ("modules", pa.list_(pa.struct([("name", pa.string()), ("inline", pa.bool_())]))),
@@ -49,7 +49,7 @@ def scope_table(scopes: DataFrame, files: DataFrame) -> DataFrame:
 
     files(file, crate, place): where each file stands in its crate, as the module tree has it; a file is there once."""
     inner = F.when(F.size("scope") > 0, F.concat(F.lit("/"), F.array_join("scope", "/"))).otherwise(F.lit(""))
-    return scopes.join(files, "file").withColumn("place", F.concat("place", inner))
+    return scopes.join(broadcast_if_small(files), "file").withColumn("place", F.concat("place", inner))
 
 
 def rust_references(table: DataFrame) -> DataFrame:
@@ -58,51 +58,50 @@ def rust_references(table: DataFrame) -> DataFrame:
 
     A chain begins at its crate, its own scope, the one around it, a scope that a use of its scope binds, a scope within its own, or another
     crate, whichever of these fits first; chains that begin nowhere are left out."""
-    places = table.select("place").distinct()
+    places = staged(table.select("place").distinct(), "rust-places")
+    crates = broadcast_if_small(staged(table.select(F.col("crate").alias("c_at")).distinct(), "rust-crates"))
     uses = table.select("place", "crate", F.explode("uses").alias("u")).select("place", "crate", "u.segments", "u.name", "u.wildcard", F.lit(True).alias("use"))
     paths = table.select("place", "crate", F.explode("paths").alias("segments")).select("place", "crate", "segments", F.lit(None).cast("string").alias("name"), F.lit(False).alias("wildcard"), F.lit(False).alias("use"))
-    written = staged(uses.unionByName(paths).withColumn("id", F.monotonically_increasing_id()), "rust-written")
     parent = lambda c: F.regexp_replace(c, "/[^/]*$", "")
     ups = F.size(F.filter("segments", lambda x: x == "super"))
     climbed = F.aggregate(F.slice("segments", F.lit(1), ups), F.col("place"), lambda acc, _: parent(acc))
     head = F.get("segments", F.lit(0))
     fixed = F.when(head == "crate", F.struct(F.col("crate").alias("at"), F.lit(1).alias("used"))).when(head == "self", F.struct(F.col("place").alias("at"), F.lit(1).alias("used"))).when(head == "super", F.struct(climbed.alias("at"), ups.alias("used")))
-    plain = staged(written.withColumn("head", head).withColumn("fixed", fixed), "rust-heads")
-
-    def starts(aliases: DataFrame | None) -> DataFrame:
-        """id, at, used: the first of the ways to begin."""
-        sure = plain.where("fixed is not null").select("id", F.lit(0).alias("rank"), F.col("fixed.at").alias("at"), F.col("fixed.used").alias("used"))
-        open_ = plain.where("fixed is null")
-        child = open_.withColumn("at", F.concat_ws("/", "place", "head")).join(places.withColumnRenamed("place", "at"), "at").select("id", F.lit(2).alias("rank"), "at", F.lit(1).alias("used"))
-        crates = table.select(F.col("crate").alias("at")).distinct()
-        crate = open_.join(crates, F.col("head") == F.col("at")).select("id", F.lit(3).alias("rank"), "at", F.lit(1).alias("used"))
-        every = sure.unionByName(child).unionByName(crate)
+    written = staged(uses.unionByName(paths).withColumn("id", F.monotonically_increasing_id()).withColumn("head", head).withColumn("fixed", fixed), "rust-written")
+
+    def begun(rows: DataFrame, aliases: DataFrame | None) -> DataFrame:
+        """The rows with `at`, `used`: the first of the ways to begin. Each way is at most one row, so a chain stays one row and isn't shuffled for it."""
+        open_ = F.col("fixed").isNull()
+        child = broadcast_if_small(places.select(F.col("place").alias("p_at")))
+        out = rows.join(child, open_ & (F.concat_ws("/", "place", "head") == F.col("p_at")), "left").join(crates, open_ & (F.col("head") == F.col("c_at")), "left")
+        ways = [F.col("p_at"), F.col("c_at")]
         if aliases is not None:
-            bound = open_.where("not use").join(aliases, (F.col("head") == F.col("a_name")) & (F.col("place") == F.col("a_place"))).select("id", F.lit(1).alias("rank"), "at", F.lit(1).alias("used"))
-            every = every.unionByName(bound)
-        return every.groupBy("id").agg(F.min_by(F.struct("at", "used"), "rank").alias("s")).select("id", "s.at", "s.used")
+            out = out.join(broadcast_if_small(aliases), open_ & ~F.col("use") & (F.col("head") == F.col("a_name")) & (F.col("place") == F.col("a_place")), "left")
+            ways.insert(0, F.col("a_at"))
+        out = out.withColumn("at", F.coalesce("fixed.at", *ways)).withColumn("used", F.coalesce("fixed.used", F.lit(1)))
+        return out.where("at is not null")
 
-    def hops(begun: DataFrame) -> DataFrame:
+    def hops(rows: DataFrame) -> DataFrame:
         """Every prefix of what is left of a chain that is a scope; the first is where it begins."""
         rest = F.slice("segments", F.col("used") + 1, F.greatest(F.size("segments") - F.col("used"), F.lit(0)))
-        opened = written.join(begun, "id").withColumn("rest", rest)
-        steps = opened.select("id", "place", "wildcard", "use", "at", "rest", F.explode(F.sequence(F.lit(0), F.size("rest"))).alias("hop"))
+        opened = rows.withColumn("rest", rest)
+        steps = opened.select("id", "place", "wildcard", "use", "at", "rest", F.col("name").alias("bound"), F.explode(F.sequence(F.lit(0), F.size("rest"))).alias("hop"))
         steps = steps.withColumn("owner", F.when(F.col("hop") == 0, F.col("at")).otherwise(F.concat_ws("/", "at", F.array_join(F.slice("rest", F.lit(1), F.col("hop")), "/"))))
-        return steps.join(places.withColumnRenamed("place", "owner"), "owner").select("id", F.col("place").alias("source"), "wildcard", "use", "hop", "owner", F.get("rest", "hop").alias("name"))
+        owners = broadcast_if_small(places.withColumnRenamed("place", "owner"))
+        return steps.join(owners, "owner").select("id", F.col("place").alias("source"), "wildcard", "use", "bound", "hop", "owner", F.get("rest", "hop").alias("name"))
 
-    first = hops(starts(None))
-    # A use that means a scope binds its name to it.
-    whole = first.where("use and name is null").select("id", F.col("owner").alias("at"))
-    aliases = staged(written.where("use and name is not null").select("id", F.col("place").alias("a_place"), F.col("name").alias("a_name")).join(whole, "id").drop("id"), "rust-aliases")
-    found = staged(hops(starts(aliases)), "rust-hops")
-    last = found.groupBy("id").agg(F.max("hop").alias("end"))
-    return found.join(last, "id").withColumn("last", F.col("hop") == F.col("end")).drop("end", "use")
+    # A use that means a scope binds its name to it; the smallest place, where one name is bound twice.
+    whole = hops(begun(written.where("use"), None)).where("name is null and bound is not null")
+    aliases = staged(whole.groupBy(F.col("source").alias("a_place"), F.col("bound").alias("a_name")).agg(F.min("owner").alias("a_at")), "rust-aliases")
+    found = hops(begun(written, aliases)).drop("use", "bound")
+    return staged(found.withColumn("last", F.col("hop") == F.max("hop").over(Window.partitionBy("id"))), "rust-hops")
 
 
 def reference_counts(references: DataFrame, module_of: DataFrame) -> DataFrame:
     """module, references, contracts: chains and uses that end in another module, and the different names that they end at (`*`: a whole scope).
 
     module_of(place, module): scopes written out in a file are of that file's module."""
+    module_of = broadcast_if_small(module_of)
     at = lambda end, name: module_of.select(F.col("place").alias(end), F.col("module").alias(name))
     ends = references.where("last").join(at("source", "module"), "source").join(at("owner", "target"), "owner").where("module <> target")
     contract = F.concat_ws("::", "owner", F.coalesce("name", F.lit("*")))
@@ -111,6 +110,7 @@ def reference_counts(references: DataFrame, module_of: DataFrame) -> DataFrame:
 
 def reference_rows(references: DataFrame, module_of: DataFrame) -> DataFrame:
     """consumer, module, name, wildcard: the input of `rust_surface`; a chain uses each name that it passes."""
+    module_of = broadcast_if_small(module_of)
     at = lambda end, name: module_of.select(F.col("place").alias(end), F.col("module").alias(name))
     placed = references.join(at("source", "consumer"), "source").join(at("owner", "module"), "owner").where("consumer <> module")
     return placed.where("name is not null or (wildcard and last)").select("consumer", "module", "name", (F.col("wildcard") & F.col("last") & F.col("name").isNull()).alias("wildcard"))

@@ -47,3 +47,21 @@ def test_a_row_holds_one_item(spark):
     whole, parts = scope_facts("".join(rows)), [x for t in rows for x in scope_facts(t)]
     for key in ("items", "modules", "uses", "paths"):
         assert sorted(repr(y) for x in parts for y in x[key]) == sorted(repr(y) for x in whole for y in x[key])
+
+
+def test_few_scopes_gather_no_table(spark):
+    """Chains met the few crates, places and files in sort-merge joins: all rows of a table were gathered under a handful of keys."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = spark.createDataFrame([("a.rs", "r", "r"), ("b.rs", "r", "r/n")], "file string, crate string, place string")
+        scopes = U.rust_scopes(spark.createDataFrame([("a.rs", "pub mod n;\nfn f() { crate::n::g(); n::g(); }\n"), ("b.rs", "use super::*;\npub fn g() { r::f() }\n")], "file string, text string"))
+        table = U.scope_table(scopes, files.distinct())
+        module_of = table.select("place", F.col("place").alias("module")).distinct()
+        references = U.rust_references(table)
+        counts = U.reference_counts(references, module_of)
+        for rows in (table, counts):
+            assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in counts.collect()} == {("r", 2, 1), ("r/n", 2, 2)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
