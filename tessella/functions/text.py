@@ -56,10 +56,11 @@ def style_tags(page: Column) -> Column:
 
 def css_colors(text: Column) -> Column:
     """Sorted distinct colours in a piece of CSS: hexadecimal, functions and names; urls and strings are skipped, and so are transparent
-    and currentcolor."""
+    and currentcolor. Words are found as such and then looked up, not tried name by name at each character."""
     plain = F.regexp_replace(F.lower(text), r"""url\([^)]*\)|"[^"]*"|'[^']*'""", " ")
-    pattern = rf"(?:#(?:[0-9a-f]{{8}}|[0-9a-f]{{6}}|[0-9a-f]{{3,4}})(?![0-9a-z_-]))|(?:\b(?:{COLOR_FUNCTIONS})\([^()]*\))|(?:(?<![\w.#$-])(?:{'|'.join(COLOR_NAMES)})(?![\w(-]))"
-    return F.sort_array(F.array_distinct(F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))))
+    pattern = rf"(?:#(?:[0-9a-f]{{8}}|[0-9a-f]{{6}}|[0-9a-f]{{3,4}})(?![0-9a-z_-]))|(?:\b(?:{COLOR_FUNCTIONS})\([^()]*\))|(?:(?<![\w.#$-])[a-z]++(?![\w(-]))"
+    found = F.array_distinct(F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)))
+    return F.sort_array(F.filter(found, lambda x: x.startswith("#") | x.endswith(")") | x.isin(COLOR_NAMES)))
 
 
 def links(page: Column) -> Column:

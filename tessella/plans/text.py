@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import metrics as M
-from ..session import table
+from ..session import spread, table
 from .base import query
 
 
@@ -40,7 +40,8 @@ def _sheets(spark, sf_dir):
     color = F.when(size > 40, "transparent").when(size > 30, "#FFF").when(size > 15, F.concat(F.lit("rgb("), size, F.lit(", 2, 3)"))).otherwise("RED")
     back = F.when(price > 950, "currentcolor; fill: #12345").otherwise(F.concat(F.lit("#"), F.lpad(F.hex(F.col("p_partkey").cast("long") % 16777216), 6, "0")))
     text = F.concat(F.lit("a { color: "), color, F.lit("; background: "), back, F.lit(' url(blue.png) } .red-box { }\nb::after { content: "red" }\n'))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("b"), F.substring("p_brand", 7, 9), F.lit("/p"), "p_partkey", F.lit(".css")).alias("file"), text.alias("text"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice"), "p_partkey")
+    return parts.select(F.concat(F.lit("b"), F.substring("p_brand", 7, 9), F.lit("/p"), "p_partkey", F.lit(".css")).alias("file"), text.alias("text"))
 
 
 @query(SHEETS + "SELECT file, colors FROM c")
