@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import staged
+from ..scratch import drop_staged, staged
 from .components import connected_components
 
 
@@ -217,18 +217,114 @@ def linkage_of(distance: np.ndarray, cut: float) -> tuple[list[tuple[int, int, f
 def average_linkage(rows: DataFrame, module: str, key: str, vector: str, cut: float, most: int = 5000) -> DataFrame:
     """module, key, cluster (its first key in order): average linkage on cosine distances within each module, cut at a distance.
 
-    A module is one numeric problem of a matrix of its members, so modules run in parallel and one of more than `most` is refused."""
+    A module of at most `most` members is one numeric problem of a matrix of its members, so such modules run in parallel; larger ones merge in
+    rounds over blocks of clusters, so that no task holds a module."""
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (module, key)}
+    if not (np.isfinite(cut) and cut >= 0):
+        raise ValueError("the cut must be finite and not negative")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > most:
-            raise ValueError(f"{len(group)} members in one module")
         group = group.sort_values(key, kind="stable")
         _, label = _linkage(np.stack(group[vector].to_numpy()).astype(float), cut)
         keys = group[key].to_numpy()
         return pd.DataFrame({module: group[module].to_numpy(), key: keys, "cluster": keys[label]})
 
-    return rows.select(module, key, vector).groupBy(module).applyInPandas(run, f"{module} {kinds[module]}, {key} {kinds[key]}, cluster {kinds[key]}")
+    def within(some: DataFrame) -> DataFrame:
+        return some.select(module, key, vector).groupBy(module).applyInPandas(run, f"{module} {kinds[module]}, {key} {kinds[key]}, cluster {kinds[key]}")
+
+    large = staged(rows.groupBy(F.col(module).alias("__m")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("__m"), "large-modules")
+    if large.isEmpty():
+        return within(rows)
+    same = F.col(module).eqNullSafe(F.col("__m"))
+    rest = rows.join(large, same, "left_semi").select(F.col(module).alias("module"), F.col(key).alias("key"), F.col(vector).alias("v"))
+    return within(rows.join(large, same, "left_anti")).unionByName(_linkage_rounds(rest, cut).toDF(module, key, "cluster"))
+
+
+#: Clusters of a block that meets another one in a task: their distances take 8 MB.
+LINKED = 1000
+#: Clusters that are left of a module from which on one task merges them, with a matrix of 32 MB: the last merges are few a round.
+LAST = 2000
+
+
+def _linkage_rounds(rows: DataFrame, cut: float) -> DataFrame:
+    """module, key, cluster of rows(module, key, v): `average_linkage` without its matrix.
+
+    The mean distance of two clusters follows from the sums of their vectors of length one, so a cluster is its size and its sum. Merging two
+    clusters brings neither nearer to a third than the nearer one was: all pairs that are each other's nearest merge at once, and a cluster that is within the
+    cut of no other never will be, so it is left as it is. Equal vectors begin as one cluster. Of equally near ones the smallest key is the nearest; each round
+    merges the nearest pair at least."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("module", "key")}
+    unit = rows.select("module", "key", F.transform("v", lambda x: x.cast("double")).alias("v"), norm(F.col("v")).alias("length"))
+    unit = staged(unit.select("module", "key", F.transform("v", lambda x: x / F.nullif("length", F.lit(0.0))).alias("v")), "linkage-rows")
+    first = unit.groupBy("module", "v").agg(F.min("key").alias("cluster"), F.count("*").cast("double").alias("n"))
+    members = staged(unit.join(first.select("module", "v", "cluster"), ["module", "v"]).select("module", "key", "cluster"), "linkage-members")
+    if members.count() < unit.count() or unit.where(F.exists("v", lambda x: x.isNull() | F.isnan(x))).limit(1).count():
+        raise ValueError("distances and the cut must be finite and not negative")
+    open_ = staged(first.select("module", "cluster", "n", F.transform("v", lambda x: x * F.col("n")).alias("v")), "linkage-open")
+
+    def nearest(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                (ka, na, a), (kb, nb, b) = ((np.asarray(k), np.asarray(n), np.asarray(v).reshape(len(k), -1)) for k, n, v in ((row.ka, row.na, row.va), (row.kb, row.nb, row.vb)))
+                d = np.clip(1 - (a @ b.T) / np.outer(na, nb), 0, 2)
+                if row.a == row.b:
+                    # Both ends of a pair see one number.
+                    d = np.triu(d, 1)
+                    d += d.T
+                    np.fill_diagonal(d, np.inf)
+                ends = [(ka, kb, d)] if row.a == row.b else [(ka, kb, d), (kb, ka, d.T)]
+                for own, other, to in ends:
+                    at = to.argmin(axis=1)
+                    gap = to[np.arange(len(own)), at]
+                    near = gap <= cut
+                    yield pd.DataFrame({"module": [row.module] * int(near.sum()), "cluster": own[near], "near": other[at[near]], "distance": gap[near]})
+
+    def finished(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("cluster", kind="stable")
+        keys, n, v = group["cluster"].to_numpy(), group["n"].to_numpy(copy=True), np.stack(group["v"].to_numpy())
+        into, left = np.arange(len(keys)), np.arange(len(keys))
+        while len(left):
+            d = np.triu(np.clip(1 - (v[left] @ v[left].T) / np.outer(n[left], n[left]), 0, 2), 1)
+            d += d.T
+            np.fill_diagonal(d, np.inf)
+            at, own = d.argmin(axis=1), np.arange(len(left))
+            near = d[own, at] <= cut
+            low = own[near & (at[at] == own) & (own < at)]
+            high = at[low]
+            v[left[low]] += v[left[high]]
+            n[left[low]] += n[left[high]]
+            into[left[high]] = left[low]
+            near[high] = False
+            left = left[near]
+        for i in range(len(into)):
+            # A cluster goes into a smaller one, whose own is known by then.
+            into[i] = into[into[i]]
+        moved = into != np.arange(len(into))
+        return pd.DataFrame({"module": group["module"].to_numpy()[moved], "cluster": keys[moved], "low": keys[into[moved]]})
+
+    while True:
+        sizes = staged(open_.groupBy("module").agg(F.count("*").alias("count")), "linkage-sizes")
+        if (sizes.agg(F.max("count")).first()[0] or 0) <= LAST:
+            merged = open_.groupBy("module").applyInPandas(finished, f"module {kinds['module']}, cluster {kinds['key']}, low {kinds['key']}")
+            return members.join(merged, ["module", "cluster"], "left").select("module", "key", F.coalesce("low", "cluster").alias("cluster"))
+        parts = F.ceil(F.col("count") / LINKED)
+        dealt = open_.join(sizes, "module").withColumn("block", F.pmod(F.xxhash64("cluster"), parts))
+        listed = dealt.groupBy("module", "block").agg(F.sort_array(F.collect_list(F.struct("cluster", "n", "v"))).alias("x"))
+        blocks = staged(listed.select("module", "block", F.col("x.cluster").alias("k"), F.col("x.n").alias("n"), F.flatten("x.v").alias("v")), "linkage-blocks")
+        a, b = (blocks.select("module", F.col("block").alias(x)) for x in "ab")
+        of = lambda x: blocks.select("module", F.col("block").alias(x), F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("v").alias(f"v{x}"))
+        meet = a.join(b, "module").where("a <= b").join(of("a"), ["module", "a"]).join(of("b"), ["module", "b"])
+        found = meet.mapInPandas(nearest, f"module {kinds['module']}, cluster {kinds['key']}, near {kinds['key']}, distance double")
+        pair = F.struct("distance", F.least("cluster", "near").alias("low"), F.greatest("cluster", "near").alias("high"))
+        nears = staged(found.groupBy("module", "cluster").agg(F.min(pair).alias("p")), "linkage-near")
+        merged = staged(nears.groupBy("module", "p.low", "p.high").agg(F.count("*").alias("ends")).where("ends = 2").select("module", F.col("high").alias("cluster"), "low"), "linkage-merged")
+        into = F.coalesce("low", "cluster").alias("cluster")
+        members, before = staged(members.join(merged, ["module", "cluster"], "left").select("module", "key", into), "linkage-members"), members
+        left = open_.join(nears.select("module", "cluster"), ["module", "cluster"]).join(merged, ["module", "cluster"], "left").select("module", into, "n", "v")
+        both = left.groupBy("module", "cluster").agg(F.sum("n").alias("n"), F.collect_list("v").alias("v"))
+        summed = F.when(F.size("v") == 2, F.zip_with(F.get("v", F.lit(0)), F.get("v", F.lit(1)), lambda x, y: x + y)).otherwise(F.get("v", F.lit(0)))
+        open_, gone = staged(both.select("module", "cluster", "n", summed.alias("v")), "linkage-open"), open_
+        drop_staged(before, gone, sizes, blocks, nears, merged)
 
 
 def histogram(values: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
