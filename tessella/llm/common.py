@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
-from collections.abc import Callable, Iterator
-from contextlib import suppress
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import BATCH_ROWS, release_memory, releasing, small_batches  # noqa: F401
 from ..scratch import drop_staged, remove, scratch_path, staged, without_old_shuffles  # noqa: F401
 
 #: White space of the word rule: x20 and x09 to x0D.
@@ -47,36 +44,6 @@ def with_parameters(rows: DataFrame, parameters: DataFrame, on: Column, bound: i
     return rows.join(F.broadcast(parameters) if small else parameters, on, how)
 
 
-#: Rows of whole texts that go to a worker at once.
-BATCH_ROWS = 2000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Hand texts to workers in batches of at most BATCH_ROWS rows from now on in this session: both sides hold a batch in memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
-def release_memory() -> None:
-    """Give memory that was freed in this worker back to the system."""
-    pa.default_memory_pool().release_unused()
-    with suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
-def releasing(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`f`, after which its worker holds nothing: workers are kept for later tasks, of other stages too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from f(batches)
-        finally:
-            release_memory()
-
-    return run
-
-
 def local_path(uri: str) -> str | None:
     """The path of a file:/ URI, None for other stores."""
     if uri.startswith("file:"):

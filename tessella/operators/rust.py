@@ -8,40 +8,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..batches import releasing, short_batches
 from ..functions.rust import PIECE, item_pieces, scope_facts
 from ..scratch import broadcast_if_small, staged
 
-_SCOPES = pa.list_(pa.struct([
-    ("scope", pa.list_(pa.string())), ("items", pa.list_(pa.struct([("name", pa.string()), ("public", pa.bool_()), ("declared", pa.bool_())]))), ("modules", pa.list_(pa.struct([("name", pa.string()), ("inline", pa.bool_())]))),
-    ("uses", pa.list_(pa.struct([("segments", pa.list_(pa.string())), ("name", pa.string()), ("wildcard", pa.bool_())]))), ("paths", pa.list_(pa.list_(pa.string()))),
-]))
-SCOPES = (
-    "file string, scopes array<struct<scope:array<string>,items:array<struct<name:string,public:boolean,declared:boolean>>,modules:array<struct<name:string,inline:boolean>>,"
-    "uses:array<struct<segments:array<string>,name:string,wildcard:boolean>>,paths:array<array<string>>>>"
-)
+#: What a scope's row has beside its file and name, as Spark and Arrow have it.
+_NAMES = pa.list_(pa.string())
+PARTS = {
+    "items": ("array<struct<name:string,public:boolean,declared:boolean>>", pa.list_(pa.struct([("name", pa.string()), ("public", pa.bool_()), ("declared", pa.bool_())]))),
+    "modules": ("array<struct<name:string,inline:boolean>>", pa.list_(pa.struct([("name", pa.string()), ("inline", pa.bool_())]))),
+    "uses": ("array<struct<segments:array<string>,name:string,wildcard:boolean>>", pa.list_(pa.struct([("segments", _NAMES), ("name", pa.string()), ("wildcard", pa.bool_())]))),
+    "paths": ("array<array<string>>", pa.list_(_NAMES)),
+}
 
 
-def rust_scopes(texts: DataFrame) -> DataFrame:
-    """file, scope, items, modules, uses, paths of texts(file, text): a row for the file and for each module written out in it. `scope` holds
-    the names of such modules, none for the file itself. A null text is an empty one.
+def rust_scopes(texts: DataFrame, parts: tuple[str, ...] = tuple(PARTS)) -> DataFrame:
+    """file, scope, and of items, modules, uses, paths those in `parts`, of texts(file, text): a row for the file and for each module written out
+    in it. `scope` holds the names of such modules, none for the file itself. A null text is an empty one. Bodies are read only where uses or
+    paths are asked for, and what isn't asked for doesn't leave the workers.
 
     A source may be many rows, each with whole items, and a long text is read in pieces: then a scope has a row for each piece."""
+    short_batches(texts.sparkSession)
+    bodies = "uses" in parts or "paths" in parts
+    columns = {"file": pa.string(), "scope": _NAMES} | {p: PARTS[p][1] for p in parts}
+
+    def told(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in columns.items()], names=list(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files, told, size = [], [], 0
+            rows, size = [], 0
             for file, text in zip(batch.column(0), batch.column(1)):
                 for piece in item_pieces(text.as_py()):
-                    files.append(file.as_py())
-                    told.append(scope_facts(piece))
+                    rows += [{"file": file.as_py()} | {c: facts[c] for c in columns if c != "file"} for facts in scope_facts(piece, bodies)]
                     size += len(piece)
                     if size >= PIECE:
-                        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(told, _SCOPES)], names=["file", "scopes"])
-                        files, told, size = [], [], 0
-            if files:
-                yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(told, _SCOPES)], names=["file", "scopes"])
+                        yield told(rows)
+                        rows, size = [], 0
+            if rows:
+                yield told(rows)
 
-    return texts.select("file", "text").mapInArrow(run, SCOPES).select("file", F.explode("scopes").alias("s")).select("file", "s.*")
+    return texts.select("file", "text").mapInArrow(releasing(run), ", ".join(["file string", "scope array<string>", *(f"{p} {PARTS[p][0]}" for p in parts)]))
 
 
 def scope_table(scopes: DataFrame, files: DataFrame) -> DataFrame:
